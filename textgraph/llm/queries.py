@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, quality, toxicity
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op7_line_dedup": line_dedup.query,
+    "op9_toxicity": toxicity.query,
 }
 ORACLES = {
     "op7_line_dedup": line_dedup.ORACLE,
