@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality, toxicity
+from . import byte_bpe, line_dedup, quality, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
+    "op10_byte_bpe": byte_bpe.query,
     "op7_line_dedup": line_dedup.query,
     "op9_toxicity": toxicity.query,
 }
