@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Upper bound of the number of id ranges; the driver holds that many bounds.
@@ -60,3 +60,37 @@ def range_of(col: Column, bounds: list[int]) -> Column:
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def with_uid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "_uid") -> DataFrame:
+    """docs with a unique ascending long: the id itself where ids are unique and present.
+
+    Otherwise rows are numbered in the order of (id, hash of the text), null ids first, in
+    even ranges of ids, so that no task sorts the whole table.
+    """
+    n, present, distinct = docs.agg(F.count(F.lit(1)), F.count(id_col), F.count_distinct(id_col)).first()
+    if n == present == distinct and dict(docs.dtypes)[id_col] in ("bigint", "int"):
+        return docs.withColumn(out, F.col(id_col).cast("long"))
+    ranged = docs.withColumn("_r", range_of(F.col(id_col), id_bounds(docs, id_col)))
+    order = Window.partitionBy("_r").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(text_col), F.lit("")))
+    return written(ranged.withColumn(out, F.shiftleft(F.col("_r").cast("long"), 40) + F.row_number().over(order)).drop("_r"))
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, root) of the connected components of undirected edges (a, b): root is the least node.
+
+    Each round every node takes the least root among its neighbours' and then that root's
+    own root (pointer jumping), so long chains halve.  Rounds are written to the shared
+    folder; only the number of changed rows comes to the driver.
+    """
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
+    for _ in range(max_rounds):
+        near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
+        step = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
+        jump = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        step = written(step.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")))
+        if step.filter(F.col("old") != F.col("root")).isEmpty():
+            break
+        roots = step.select("node", "root")
+    return roots

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, fingerprints, line_dedup, quality, sharding, toxicity
+from . import byte_bpe, decontamination, fingerprints, line_dedup, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
     "op10_byte_bpe": byte_bpe.query,
     "op2_fingerprints": fingerprints.query,
     "op4_decontamination": decontamination.query,
+    "op5_near_dedup": near_dedup.query,
     "op6_sharding": sharding.query,
     "op7_line_dedup": line_dedup.query,
     "op9_toxicity": toxicity.query,
