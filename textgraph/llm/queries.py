@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, fingerprints, line_dedup, near_dedup, quality, sharding, toxicity
+from . import byte_bpe, decontamination, fingerprints, html_extraction, line_dedup, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.query,
     "op6_sharding": sharding.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_html_extraction": html_extraction.query,
     "op9_toxicity": toxicity.query,
 }
 ORACLES = {
