@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, fingerprints, html_extraction, line_dedup, near_dedup, quality, sharding, toxicity
+from . import byte_bpe, decontamination, fingerprints, html_extraction, line_dedup, near_dedup, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
     "op10_byte_bpe": byte_bpe.query,
     "op2_fingerprints": fingerprints.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_decontamination": decontamination.query,
     "op5_near_dedup": near_dedup.query,
     "op6_sharding": sharding.query,
