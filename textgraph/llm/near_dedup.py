@@ -197,10 +197,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     reps = common.written(rows.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.first("keys").alias("keys")))
     flat = reps.select("rep", F.explode("keys").alias("key"))
     hubs = flat.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key", "hub")
-    pairs = common.written(flat.join(hubs, "key").filter(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    # Merge joins at every size, so that what is shuffled follows the input evenly.
+    pairs = common.written(flat.join(hubs.hint("merge"), "key").filter(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     involved = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    some = common.written(texts.join(involved, "uid", "left_semi"))
-    both = pairs.join(some.select(F.col("uid").alias("b"), F.col("t").alias("tb")), "b").join(some.select(F.col("uid").alias("a"), F.col("t").alias("ta")), "a")
+    some = common.written(texts.join(involved.hint("merge"), "uid", "left_semi"))
+    both = pairs.hint("merge").join(some.select(F.col("uid").alias("b"), F.col("t").alias("tb")), "b").hint("merge").join(some.select(F.col("uid").alias("a"), F.col("t").alias("ta")), "a")
     links = common.written(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"))
     roots = common.components(links)
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
@@ -213,7 +214,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with one row of each class, the first by id; columns as before."""
     known = common.with_uid(docs, id_col, text_col)
     keep = classes(known, "_uid", text_col).filter(F.col("uid") == F.col("class_uid")).select(F.col("uid").alias("_uid"))
-    return known.join(keep, "_uid", "left_semi").select(*docs.columns)
+    return known.join(keep.hint("merge"), "_uid", "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
