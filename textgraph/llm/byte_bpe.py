@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from . import common
 
 #: Finished words that one worker keeps; about 250 bytes each.
-MAX_WORDS = 600_000
-#: Distinct new words whose merges are replayed together.
-BLOCK_ROWS = 2000
+MAX_WORDS = 250_000
+#: Texts whose distinct new words are replayed together.
+BLOCK_ROWS = 1000
 
 
 class Vocabulary:
@@ -130,7 +130,7 @@ class Vocabulary:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self.done) > MAX_WORDS:
             self.done.clear()
-        if len(self.pair_rank) > 4 * MAX_WORDS:
+        if len(self.pair_rank) > MAX_WORDS:
             self.pair_rank.clear()
         split = [self.split(t) for t in texts]
         new: set[str] = set()
