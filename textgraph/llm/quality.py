@@ -25,8 +25,8 @@ from . import common, kernels, pu_learning
 THRESHOLD = 0.3
 HELD_OUT = (5, 0)
 
-_MARKS = ".,!?|#$%&*-_:;/\\<>@=+~^()[]{}'\"`"
-_CLASS = np.zeros(256, np.uint8)
+_MARKS = ".,!?|#$%&*-_:;/"
+_CLASS = np.zeros(256, np.uint8)  # 0: every other byte
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 1, 2, 3, 3
 _CLASS[32], _CLASS[9:11] = 4, 5
 for _i, _c in enumerate(_MARKS):
@@ -103,8 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", held_out: t
     mean = x.mean(axis=0) if len(x) else np.zeros(WIDTH, np.float32)
     scale = np.maximum(x.std(axis=0), 1e-2) if len(x) else np.ones(WIDTH, np.float32)
     x = (x - mean) / scale
-    model = pu_learning.fit_nnpu(x[positive], x[~positive], prior)
-    return Scorer(mean, scale, model)
+    xp, xu = x[positive], x[~positive]
+    del x, flat, rows
+    return Scorer(mean, scale, pu_learning.fit_nnpu(xp, xu, prior))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
