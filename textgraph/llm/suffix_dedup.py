@@ -155,7 +155,7 @@ def _contexts(hot: np.ndarray):
                 if not len(row):
                     continue
                 # places of equal context in this chunk: all but the first are repeats
-                whole = kernels.range_hash(kernels.prefix_hash(data), first, last + LENGTH) ^ h
+                whole = kernels.range_hash(kernels.prefix_hash(data), first, last + LENGTH) + kernels.mix(h)
                 order = np.lexsort((first, uid[row], whole))
                 row, h, first, last, whole = row[order], h[order], first[order], last[order], whole[order]
                 raw = data.tobytes()
