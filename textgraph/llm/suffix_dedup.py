@@ -134,7 +134,7 @@ def _contexts(hot: np.ndarray):
         for batch in batches:
             for a, b, data, offsets in kernels.chunked(batch.column("t")):
                 uid = batch.column("uid").slice(a, b - a).to_numpy()
-                lists = batch.column("hs").slice(a, b - a)
+                lists = batch.column("hs").slice(a, b - a).fill_null([])
                 wanted = lists.flatten().to_numpy().view(_U)
                 row, h, first, last = anchors(data, offsets)
                 size = np.asarray(lists.value_lengths())
@@ -348,10 +348,11 @@ def deduplicated(texts: DataFrame, keep_text: bool = True) -> DataFrame:
         return _contexts(shared_hot.value)(batches)
 
     lists = shared.groupBy("uid").agg(F.collect_set("h").alias("hs"))
-    found = texts.join(lists, "uid").select("uid", "t", "hs").mapInArrow(contexts, "key long, uid long, first long, last long, ctx binary")
+    # left here too (rows without a list emit nothing), so that both joins read one exchange of the texts
+    found = texts.join(lists.hint("merge"), "uid", "left").select("uid", "t", "hs").mapInArrow(contexts, "key long, uid long, first long, last long, ctx binary")
     repeats = found.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_repeats, "uid long, s long, e long")
     by_row = repeats.groupBy("uid").agg(F.collect_list("s").alias("ss"), F.collect_list("e").alias("es"))
-    return texts.join(by_row, "uid", "left").select("uid", "t", "ss", "es").mapInArrow(
+    return texts.join(by_row.hint("merge"), "uid", "left").select("uid", "t", "ss", "es").mapInArrow(
         lambda batches: _cut(batches, keep_text),
         "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text,
     )
