@@ -121,7 +121,9 @@ def build(docs: DataFrame, labels: list[str], config: BuildConfig) -> DataFrame:
         "anaphora": lambda: anaphora(docs, p, labels),
     }
     # at most max_vertices**2 rows, which surprisal and pruning read several times
-    edges = merge([makers[m]() for m in config.edge_methods if m in makers]).persist()
+    from . import graph
+
+    edges = graph.pinned(merge([makers[m]() for m in config.edge_methods if m in makers]))
     if "perplexity" in config.edge_methods:
         s = surprisal(docs, p, edges)
         edges = edges.drop("surprisal").join(s, ["src", "dst"], "left").withColumn("methods", F.array_append("methods", F.lit("perplexity")))

@@ -113,6 +113,15 @@ def compared(graphs: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [metrics(g).select(F.lit(k).alias("graph"), "nodes", "edges") for k, g in graphs.items()])
 
 
+def pinned(df: DataFrame, most: int = MAX_LOCAL_EDGES) -> DataFrame:
+    """A small frame that many branches of a plan read, as a local relation; a larger one is persisted.
+
+    Without this, each branch repeats the whole build, and the plan grows with every use.
+    """
+    rows = df.limit(most + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else df.persist()
+
+
 def collected(edges: DataFrame, most: int = MAX_LOCAL_EDGES) -> list[tuple[str, str, float]]:
     """The edges on the driver; refused beyond the bound rather than cut."""
     rows = edges.select("src", "dst", F.col("weight").cast("double")).orderBy("src", "dst").limit(most + 1).collect()

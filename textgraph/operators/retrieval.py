@@ -64,7 +64,9 @@ def concepts(edges: DataFrame, seen: DataFrame, keep: int = 18) -> DataFrame:
 
 def snippets(docs: DataFrame, seed: DataFrame, profile: Profile, keep: int = 4, chars: int = 220) -> DataFrame:
     """The first documents with a seed among their grams: [title] head of the text."""
-    g = docs.select("doc_id", F.array_distinct(tx.grams(tx.tokens(F.col("text"), profile.token))).alias("g")).select("doc_id", F.explode("g").alias("id"))
+    # tokens become a column first: inside a lambda the expression would run once for each bigram
+    t = docs.select("doc_id", tx.tokens(F.col("text"), profile.token).alias("t"))
+    g = t.select("doc_id", F.explode(tx.grams(F.col("t"))).alias("id"))
     hit = g.join(F.broadcast(seed.select("q_id", "id")), "id").select("q_id", "doc_id").distinct()
     first = _rank(hit, [F.col("doc_id")], keep)
     title = F.coalesce(F.col("title"), F.lit("")) if "title" in docs.columns else F.lit("")

@@ -165,7 +165,7 @@ def mmr(candidates: list[str], cand: np.ndarray, doc: np.ndarray, top_k: int, di
 def keybert(docs: DataFrame, profile: Profile, top_k: int = 100, encoder: Encoder = char_hash_encoder, n_docs: int = 30, head: int = 4000, most: int = 800) -> DataFrame:
     """Key phrases close to a bounded sample of the corpus and unlike each other (a sampling operator by definition)."""
     spark = docs.sparkSession
-    rows = docs.orderBy("doc_id").limit(n_docs).select(F.substring("text", 1, head).alias("t")).withColumn("g", F.concat(*[tx.ngrams(tx.tokens(F.col("t"), profile.token), n) for n in (1, 2, 3)])).collect()
+    rows = docs.orderBy("doc_id").limit(n_docs).select(F.substring("text", 1, head).alias("t")).withColumn("w", tx.tokens(F.col("t"), profile.token)).select("t", F.concat(*[tx.ngrams(F.col("w"), n) for n in (1, 2, 3)]).alias("g")).collect()
     phrases = sorted({g for r in rows for g in r["g"] if len(g) >= 4})[:most]
     if not phrases:
         return spark.createDataFrame([], SCHEMA)
@@ -211,7 +211,7 @@ def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
 
 def paraphrase_clusters(vertices: DataFrame, similarity: float = 0.85, encoder: Encoder = char_hash_encoder, most: int = 4000) -> DataFrame:
     """One representative (the best-scored member) for each cluster of like labels; at most ``most`` labels, by score."""
-    top = vertices.orderBy(F.desc("score"), "label").limit(most)
+    top = vertices.orderBy(F.desc("score"), "label").limit(most).withColumn("_g", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "label"], ascending=[False, True]).reset_index(drop=True)
@@ -221,7 +221,7 @@ def paraphrase_clusters(vertices: DataFrame, similarity: float = 0.85, encoder:
         best["sources"] = [["paraphrase_cluster"]] * len(best)
         return best[["label", "score", "method", "entity_type", "cluster_id", "sources"]]
 
-    return top.groupBy(F.lit(1)).applyInPandas(run, SCHEMA)
+    return top.groupBy("_g").applyInPandas(run, SCHEMA)
 
 
 def merge(candidates: DataFrame, order: list[str], max_vertices: int, min_score: float = 0.0) -> DataFrame:

@@ -31,7 +31,7 @@ class GraphConstructor:
         c = self.config
         v = vertices.extract(docs, c)
         e = edges.build(docs, edges.labels_of(v, c.max_vertices), c)
-        return Built(v, graph.filtered(e, c.max_vertices, c.min_weight, c.min_pmi, c.backbone_k).persist())
+        return Built(v, graph.pinned(graph.filtered(e, c.max_vertices, c.min_weight, c.min_pmi, c.backbone_k)))
 
     def run(self, docs: DataFrame, stress: bool = True, baseline: bool = True) -> dict:
         built = self.build(docs)

@@ -128,11 +128,11 @@ def _labels(spark: SparkSession, d: str) -> list[str]:
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     x, labels = docs(spark, d), _labels(spark, d)
     # at most TOP**2 rows, which many branches of a plan read
-    return edges.merge([edges.cooccurrence(x, P, labels), edges.rhetorical(x, P, labels), edges.emotional(x, P, labels)]).persist()
+    return graph.pinned(edges.merge([edges.cooccurrence(x, P, labels), edges.rhetorical(x, P, labels), edges.emotional(x, P, labels)]))
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
-    return graph.filtered(_typed(spark, d), MAXN, MINW, MINPMI, KNN).persist()
+    return graph.pinned(graph.filtered(_typed(spark, d), MAXN, MINW, MINPMI, KNN))
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -513,7 +513,7 @@ def threshold_curve(spark, d):
 def _heavy(spark, d) -> DataFrame:
     """The edges whose ends attract each other, which fall into components."""
     g = _graph(spark, d)
-    return g.filter(F.col("pmi") >= 0).persist()
+    return g.filter(F.col("pmi") >= 0)
 
 
 _HEAVY = "hv AS (SELECT * FROM g WHERE pmi >= 0), bo AS (SELECT src AS a, dst AS b FROM hv UNION SELECT dst, src FROM hv)"
@@ -630,7 +630,7 @@ wn AS (SELECT q_id, id, min(dist) AS dist FROM (SELECT q_id, id, 0 AS dist FROM
 
 
 def _seeds(spark, d, e=None) -> DataFrame:
-    return retrieval.seeds(graph.degrees(_graph(spark, d) if e is None else e).select("id"), _questions(spark, d), P).persist()
+    return graph.pinned(retrieval.seeds(graph.degrees(_graph(spark, d) if e is None else e).select("id"), _questions(spark, d), P))
 
 
 @query(f"WITH {_SEEDS} SELECT q_id, id, round(score, 6) AS score, rank FROM sd")
