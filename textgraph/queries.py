@@ -511,12 +511,13 @@ def threshold_curve(spark, d):
 
 
 def _heavy(spark, d) -> DataFrame:
-    """The edges whose ends attract each other, which fall into components."""
+    """The edge of largest PMI at each node: a graph that falls into components."""
     g = _graph(spark, d)
-    return g.filter(F.col("pmi") >= 0)
+    kept = graph.backbone(g.withColumn("weight", F.col("pmi")), 1).select("src", "dst")
+    return graph.pinned(g.join(kept, ["src", "dst"], "left_semi"))
 
 
-_HEAVY = "hv AS (SELECT * FROM g WHERE pmi >= 0), bo AS (SELECT src AS a, dst AS b FROM hv UNION SELECT dst, src FROM hv)"
+_HEAVY = "h1 AS (SELECT id, nbr FROM (SELECT id, nbr, row_number() OVER (PARTITION BY id ORDER BY pmi DESC, nbr) AS n FROM (SELECT src AS id, dst AS nbr, pmi FROM g UNION ALL SELECT dst, src, pmi FROM g)) WHERE n = 1), hv AS (SELECT * FROM g WHERE EXISTS (SELECT 1 FROM h1 WHERE (id = src AND nbr = dst) OR (id = dst AND nbr = src))), bo AS (SELECT src AS a, dst AS b FROM hv UNION SELECT dst, src FROM hv)"
 _COMP = f"{_HEAVY}, rc AS (SELECT a AS id, a AS c FROM bo UNION SELECT bo.b, rc.c FROM rc JOIN bo ON bo.a = rc.id), comp AS (SELECT id, min(c) AS component FROM rc GROUP BY id)"
 
 
