@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Upper bound of the number of id ranges; the driver holds that many bounds.
-MAX_RANGES = 512
+MAX_RANGES = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,16 +47,28 @@ def partitions(spark: SparkSession) -> int:
 def id_bounds(df: DataFrame, col: str, n: int | None = None) -> list[int]:
     """Distinct ascending ids that cut the rows into about equal ranges; at most MAX_RANGES."""
     n = min(MAX_RANGES, n or max(8, 2 * partitions(df.sparkSession)))
-    qs = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(F.col(col), F.array(*map(F.lit, qs)), F.lit(10 * n)).alias("q")).first()
+    qs = F.expr(f"array({','.join(f'{i / n!r}D' for i in range(1, n))})")
+    found = df.agg(F.percentile_approx(F.col(col), qs, F.lit(10 * n)).alias("q")).first()
     return sorted({int(x) for x in (found["q"] or []) if x is not None})
 
 
+def _longs(values: list[int]) -> str:
+    return f"array({','.join(f"bigint('{v}')" for v in values)})"
+
+
 def range_of(col: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or below an id: 0 for null ids, which sort first."""
+    """The number of bounds at or below an id: 0 for null ids, which sort first.
+
+    Bounds are sought in two steps of about the square root of their number.
+    """
     if not bounds:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= col)), F.lit(0)).cast("int")
+    step = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    at_or_below = lambda b: b <= col
+    group = F.size(F.filter(F.expr(_longs([g[0] for g in groups])), at_or_below)) - 1
+    within = F.size(F.filter(F.get(F.expr(f"array({','.join(map(_longs, groups))})"), group), at_or_below))
+    return F.when(group >= 0, group * step + within).otherwise(0).cast("int")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
