@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textgraph.llm import byte_bpe, decontamination, fingerprints, html_extraction, line_dedup, near_dedup, pu_learning, quality, queries, sharding, suffix_dedup, toxicity
+from textgraph.llm import byte_bpe, common, decontamination, fingerprints, html_extraction, line_dedup, near_dedup, pu_learning, quality, queries, sharding, suffix_dedup, toxicity
 
 PASSAGE = "this shared passage of text runs on for well over one hundred bytes so that it can be found wherever it has been copied to"
 ROWS = [
@@ -59,6 +59,31 @@ def test_runs_compact_and_anti_join(spark):
     assert sum(map(len, runs.levels)) < 5
 
 
+def test_runs_stay_frequent_over_many_batches(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=2, fan_in=2)
+    for i in range(9):
+        runs.add(spark.createDataFrame([(1, 1), (2, 10 + i), (3, i // 2), (4, 8 if i in (0, 8) else 100 + i)], "a long, b int"))
+    assert sorted((r.a, r.b) for r in runs.frequent_keys().collect()) == [(1, 1), (3, 0), (3, 1), (3, 2), (3, 3), (4, 8)]
+
+
+@pytest.mark.parametrize("hot_keys", [1, 3, 1 << 14])
+def test_lines_hot_or_not(spark, monkeypatch, hot_keys):
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", hot_keys)
+    rows = [(i, "\n".join(["everywhere", f"half {i % 2}", f"own {i}"])) for i in range(20)]
+    out = line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect()
+    assert sorted((r.doc_id, r._n_dropped, r._kept) for r in out) == [(i, 2, f"own {i}") for i in range(20)]
+
+
+def test_ranges_of_ids(spark):
+    ids = [None, -(2**63), -5, *range(0, 3000, 7), 2**63 - 1]
+    rows = spark.createDataFrame([(i,) for i in ids], "i long")
+    for bounds in ([], [3], [-(2**63), 0, 7], list(range(-10, 3000, 10)), list(range(1, 2000, 3))):
+        got = {r.i: r.r for r in rows.select("i", common.range_of(F.col("i"), bounds).alias("r")).collect()}
+        assert got == {i: 0 if i is None else sum(b <= i for b in bounds) for i in ids}
+    bounds = common.id_bounds(spark.range(100_000), "id", 3000)  # approximate percentiles
+    assert len(bounds) == 2999 and max(abs(b - 100_000 * i / 3000) for i, b in enumerate(bounds, 1)) < 10
+
+
 def removed(texts):
     seen, out = set(), []
     for t in texts:

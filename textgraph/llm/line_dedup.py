@@ -1,12 +1,17 @@
 """Line dedup with levelled sorted runs of line hashes.
 
 A run is a table of (key hash, number of documents), sorted by hash within partitions of
-hash ranges. Each new batch of documents is first merge-anti-joined with the keys already
-known to be frequent (their count needs no more), then adds a run of its own at level 0.
+hash ranges. Each new batch of documents is counted by key (summed up before the shuffle),
+merge-anti-joined with the keys already known to be frequent (their count needs no more),
+and adds a run of its own at level 0.
 When FAN_IN runs lie at a level they are compacted into one run of the next level by a
 sum over their merged hashes.  Runs are Parquet tables in the shared folder, so a lost
 executor costs a reread and lineage stays one batch deep.
 
+Documents learn of their frequent lines by a join on the key.  The keys that make up 1 in
+HOT_KEYS of all lines or more go to the lines instead (there cannot be more than HOT_KEYS
+of them), so a line that most documents share is never gathered in one task.
+
 Edge cases: a null or empty text is one empty line; an empty key never drops a line; each
 row counts as a document of its own, so repeated rows count repeatedly; null ids are kept.
 Columns of the input other than the id and the text are passed through untouched where
@@ -25,6 +30,8 @@ FAN_IN = 4
 #: Batches that a whole table is taken in.
 BATCHES = 6
 MIN_DOCS = 10
+#: Most keys that are sent to the lines.
+HOT_KEYS = 1 << 14
 
 STRIPPED = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,9 +65,10 @@ class LineRuns:
         return common.written(run.sortWithinPartitions("a", "b"))
 
     def add(self, batch: DataFrame) -> None:
+        counted = batch.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
         if self.frequent is not None:
-            batch = batch.join(self.frequent.hint("merge"), ["a", "b"], "left_anti")
-        run = self._stored(batch.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+            counted = counted.join(self.frequent.hint("merge"), ["a", "b"], "left_anti")
+        run = self._stored(counted)
         at = 0
         while True:
             if len(self.levels) == at:
@@ -71,12 +79,17 @@ class LineRuns:
             run = self._stored(self._merged(self.levels[at]))
             self.levels[at] = []
             at += 1
-            self.frequent = run.filter(F.col("n") >= self.min_docs).select("a", "b")
+            # a key that was taken out of later batches is frequent in an older compacted run
+            compacted = [r for level in self.levels[1:] for r in level] + [run]
+            self.frequent = common.union_all(compacted).filter(F.col("n") >= self.min_docs).select("a", "b").distinct()
 
-    def frequent_keys(self) -> DataFrame:
-        """Keys found in at least min_docs documents over all batches."""
+    def frequent_counts(self) -> DataFrame:
+        """(a, b, n) of the keys found in at least min_docs documents over all batches; n stops where they became known."""
         runs = [r for level in self.levels for r in level]
-        return self._merged(runs).filter(F.col("n") >= self.min_docs).select("a", "b")
+        return self._merged(runs).filter(F.col("n") >= self.min_docs)
+
+    def frequent_keys(self) -> DataFrame:
+        return self.frequent_counts().select("a", "b")
 
 
 def _digest(docs: DataFrame, id_col: str, text_col: str, batches: int) -> DataFrame:
@@ -95,10 +108,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = LineRuns(docs.sparkSession, min_docs)
     for i in range(batches):
         runs.add(digest.filter(F.col("batch") == i).select("a", "b"))
-    frequent = common.written(runs.frequent_keys())
+    frequent = common.written(runs.frequent_counts())
+    # the counts add up to at most the number of lines: a proven bound for the broadcasts
+    is_hot = F.col("n") * HOT_KEYS >= digest.count()
+    hot, rest = frequent.filter(is_hot).select("a", "b"), frequent.filter(~is_hot).select("a", "b")
+    known = digest.join(F.broadcast(hot), ["a", "b"], "left_semi").unionByName(
+        digest.join(F.broadcast(hot), ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_semi")
+    )
     # Rows that share an id share this list, which harms nothing: a key is frequent everywhere.
     gone = (
-        digest.join(frequent, ["a", "b"], "left_semi")
+        known
         .groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
     )
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left").drop("_id")
