@@ -129,6 +129,19 @@ def test_chain_of_links_is_one_class(spark):
     assert {r.class_uid for r in out} == {0}
 
 
+def test_copies_that_meet_only_in_a_shared_passage(spark):
+    """The hub of their buckets is a foreign text with the same passage."""
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(k, passage + [f"f{k}_{i}" for i in range(50 + 9 * k)]) for k in range(12)]
+    for k in range(12, 36, 2):
+        own = [f"d{k}_{i}" for i in range(40)]
+        changed = [w if i % 3 else f"x{k}_{i}" for i, w in enumerate(own)]
+        rows += [(k, passage + own), (k + 1, passage + changed)]
+    got = {r.uid: r.class_uid for r in near_dedup.classes(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")).collect()}
+    want = {k: min(j for j, v in rows if near_dedup.similar(w, v)) for k, w in rows}
+    assert got == want and sum(k != c for k, c in got.items()) == 12
+
+
 def test_fingerprints(docs, empty):
     got = fingerprints.compared(docs).select("id", "n", "edited_sha256", "near_edited", "near_next").collect()
     rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))

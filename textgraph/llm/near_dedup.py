@@ -5,11 +5,13 @@ number, takes the LENGTH least, and keeps them in text order; texts that agree i
 are likely close in edit distance, as order and repetition count.  Equal word sequences
 are folded into one representative first (by a 128-bit hash), so thousands of copies are
 one row from there on.  In each bucket of equal sketches every member is paired with the
-least one only: pairs grow with the members, never with their square, and members that
-belong together but not to that one meet in the buckets of their other sketches.  A pair
-is a link if the edit distance of the word sequences, computed bit-parallel in a band of
-the width that the threshold allows, leaves a similarity 1 - d/max(n, m) of at least
-THRESHOLD.  Classes are the connected components of the links.
+least one only, its hub: pairs grow with the members, never with their square.  Members
+whose hub proves to be of another class stay, and up to ELECTIONS - 1 times elect a new hub
+among those of like length, so two copies that meet only where many texts share a passage
+still find each other.  A pair is a link if the edit distance of the word sequences,
+computed bit-parallel in a band of the width that the threshold allows, leaves a similarity
+1 - d/max(n, m) of at least THRESHOLD; pairs whose lengths rule that out are never
+computed.  Classes are the connected components of the links.
 
 Words are runs of ASCII letters (folded), digits and non-ASCII characters.  Texts without
 a word (null and empty included) are alike only if their raw texts are equal.  Texts of one
@@ -31,6 +33,8 @@ from . import common, kernels
 
 WIDTH, LENGTH, SKETCHES = 5, 2, 32
 THRESHOLD = 0.8
+#: Hubs that a bucket elects, one after the other, for members that no earlier one fits.
+ELECTIONS = 4
 _U = np.uint64
 
 
@@ -116,7 +120,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.concatenate([[0], np.cumsum(some)]) * SKETCHES, pa.int32()), pa.array(np.ascontiguousarray(keys.T).ravel().view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid").slice(a, b - a), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists], ["uid", "k1", "k2", "keys"]
+                [batch.column("uid").slice(a, b - a), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(bounds)), lists],
+                ["uid", "k1", "k2", "n", "keys"],
             )
 
 
@@ -189,21 +194,67 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are near copies."""
+    # Merge joins at every size, so that what is shuffled follows the input evenly.
+    both = pairs.hint("merge").join(texts.select(F.col("uid").alias("b"), F.col("t").alias("tb")), "b")
+    both = both.hint("merge").join(texts.select(F.col("uid").alias("a"), F.col("t").alias("ta")), "a")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
+
+
+def _unfit(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets that are in another class than their hub."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    named = met.join(of("rep").hint("merge"), "rep", "left").join(of("hub").hint("merge"), "hub", "left")
+    return named.filter(F.coalesce("rep_root", "rep") != F.coalesce("hub_root", "hub"))
+
+
+def _joined_up(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """The roots after more links: only the roots that these connect are gone over again."""
+    if found.isEmpty():
+        return roots
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    known = common.written(roots.unionByName(ends.join(roots.hint("merge"), "node", "left_anti").withColumn("root", F.col("node"))))
+    of = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = found.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").filter(F.col("a_root") != F.col("b_root"))
+    above = common.components(apart.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    above = above.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return common.written(known.join(above.hint("merge"), "root", "left").select("node", F.coalesce("above", "root").alias("root")))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, class_uid, n_links) of every row; uid is the id wherever ids are unique."""
     texts = common.with_uid(docs.select(id_col, text_col), id_col, text_col).select(F.col("_uid").alias("uid"), F.col(text_col).alias("t"))
-    rows = common.written(texts.mapInArrow(_sketched, "uid long, k1 long, k2 long, keys array<long>"))
+    rows = common.written(texts.mapInArrow(_sketched, "uid long, k1 long, k2 long, n long, keys array<long>"))
     # copies are summed up before the shuffle
-    reps = common.written(rows.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.first("keys").alias("keys")))
-    flat = reps.select("rep", F.explode("keys").alias("key"))
-    hubs = flat.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key", "hub")
-    # Merge joins at every size, so that what is shuffled follows the input evenly.
-    pairs = common.written(flat.join(hubs.hint("merge"), "key").filter(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    involved = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    some = common.written(texts.join(involved.hint("merge"), "uid", "left_semi"))
-    both = pairs.hint("merge").join(some.select(F.col("uid").alias("b"), F.col("t").alias("tb")), "b").hint("merge").join(some.select(F.col("uid").alias("a"), F.col("t").alias("ta")), "a")
-    links = common.written(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"))
-    roots = common.components(links)
+    reps = common.written(rows.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    members = reps.select("rep", "n", F.explode("keys").alias("key"), F.lit(0).cast("long").alias("band"))
+    long, short = F.greatest("n", "hub_n"), F.least("n", "hub_n")
+    tested = links = roots = None
+    for election in range(ELECTIONS):
+        hubs = members.groupBy("key", "band").agg(F.min(F.struct("rep", "n")).alias("h"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+        hubs = hubs.select("key", "band", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
+        met = common.written(members.join(hubs.hint("merge"), ["key", "band"]).filter(F.col("rep") != F.col("hub")))
+        pairs = met.filter(long - short <= (1 - THRESHOLD) * long + 1e-9).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        if election == 0:
+            involved = met.select(F.col("hub").alias("uid")).unionByName(met.select(F.col("rep").alias("uid"))).distinct()
+            some = common.written(texts.join(involved.hint("merge"), "uid", "left_semi"))
+            tested = common.written(pairs)
+            links = common.written(_linked(tested, some))
+            roots = common.components(links)
+        else:
+            fresh = common.written(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"))
+            found = common.written(_linked(fresh, some))
+            tested, links = tested.unionByName(fresh), links.unionByName(found)
+            roots = _joined_up(roots, found)
+        if election + 1 == ELECTIONS:
+            break
+        # texts of like length share the band of one of them or the next
+        band = F.floor(F.log("n") / F.log(F.lit(1 / THRESHOLD)))
+        bands = F.explode(F.array(band, band + 1)) if election == 0 else F.col("band")
+        members = common.written(_unfit(met, roots).select("rep", "n", "key", bands.alias("band")))
+        if members.isEmpty():
+            break
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     named = reps.select("k1", "k2", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
     named = named.select("k1", "k2", F.coalesce("root", "rep").alias("class_uid"), F.coalesce("links", F.lit(0)).alias("n_links"))
