@@ -142,6 +142,32 @@ def test_copies_that_meet_only_in_a_shared_passage(spark):
     assert got == want and sum(k != c for k, c in got.items()) == 12
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_copies_among_many_texts_with_a_passage(spark, monkeypatch, block):
+    """However many foreign texts of like length share the passage, no hub stands between two copies."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(0, 120, 2):
+        own = [f"d{k}_{i}" for i in range(40)]
+        rows += [(k, passage + own), (k + 1, passage + [w if i % 3 else f"x{k}_{i}" for i, w in enumerate(own)])]
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    assert {r.uid: r.class_uid for r in near_dedup.classes(table).collect()} == {k: k - k % 2 for k, _ in rows}
+
+
+def test_bins_rule_no_copies_out():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 30, rng.integers(1, 40)) for _ in range(60)]
+    texts += [np.where(rng.random(len(t)) < 0.15, 99, t) for t in texts]
+    wh = np.concatenate(texts).astype(np.uint64)
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    bins = np.frombuffer(b"".join(near_dedup.binned(wh, bounds).to_pylist()), np.uint8).reshape(-1, near_dedup.BINS)
+    at = np.arange(len(texts))
+    got = {(int(a), int(b)) for p in near_dedup._open_pairs(at, np.diff(bounds), at, bins, at, at) for a, b in p.T}
+    near = {(a, b) for a in at for b in at if a < b and near_dedup.similar(texts[a].tolist(), texts[b].tolist())}
+    assert near and near <= got
+
+
 def test_fingerprints(docs, empty):
     got = fingerprints.compared(docs).select("id", "n", "edited_sha256", "near_edited", "near_next").collect()
     rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))

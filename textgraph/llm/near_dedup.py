@@ -4,11 +4,14 @@ Each of SKETCHES sketches hashes a text's word shingles, labelled with their occ
 number, takes the LENGTH least, and keeps them in text order; texts that agree in a sketch
 are likely close in edit distance, as order and repetition count.  Equal word sequences
 are folded into one representative first (by a 128-bit hash), so thousands of copies are
-one row from there on.  In each bucket of equal sketches every member is paired with the
-least one only, its hub: pairs grow with the members, never with their square.  Members
-whose hub proves to be of another class stay, and up to ELECTIONS - 1 times elect a new hub
-among those of like length, so two copies that meet only where many texts share a passage
-still find each other.  A pair is a link if the edit distance of the word sequences,
+one row from there on.  In each bucket of equal sketches every member is first paired with
+the least one only, its hub, so a bucket of one class costs no more than its members.  In a
+bucket with a member of another class than the hub's, all pairs of different classes follow,
+in blocks of about BLOCK by BLOCK members: the lengths and the counts of words in BINS bins
+rule most of them out, without loss, and the others are compared in full.  So two copies
+that share any sketch find each other, however many texts share their passage; the price
+grows with the square of the texts in a bucket that are no copies of each other.  A pair is
+a link if the edit distance of the word sequences,
 computed bit-parallel in a band of the width that the threshold allows, leaves a similarity
 1 - d/max(n, m) of at least THRESHOLD; pairs whose lengths rule that out are never
 computed.  Classes are the connected components of the links.
@@ -33,8 +36,8 @@ from . import common, kernels
 
 WIDTH, LENGTH, SKETCHES = 5, 2, 32
 THRESHOLD = 0.8
-#: Hubs that a bucket elects, one after the other, for members that no earlier one fits.
-ELECTIONS = 4
+#: Members of a bucket in one side of a block of pairs; bins of the word counts that rule pairs out.
+BLOCK, BINS = 1024, 128
 _U = np.uint64
 
 
@@ -103,6 +106,77 @@ def _row_hash(wh: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
     return kernels.mix((p[bounds[1:]] - p[bounds[:-1]]) * inverse[bounds[:-1]] + n * _U(0x9E3779B97F4A7C15))
 
 
+def binned(wh: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Each row's counts of words by bin, a byte each (255 and more are alike)."""
+    rows = len(bounds) - 1
+    at = np.repeat(np.arange(rows), np.diff(bounds)) * BINS + (kernels.mix(wh) % _U(BINS)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=rows * BINS), 255).astype(np.uint8)
+    offsets = np.arange(rows + 1, dtype=np.int32) * BINS
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(counts)])
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At least so many edits lie between texts with these counts by bin."""
+    d = x.astype(np.int16) - y
+    return np.maximum(np.maximum(d, 0).sum(axis=1, dtype=np.int64), np.maximum(-d, 0).sum(axis=1, dtype=np.int64))
+
+
+def _open_pairs(uid: np.ndarray, n: np.ndarray, root: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
+    """(2, pairs) of left with right members of different classes that no bound rules out."""
+    coarse = bins.reshape(len(bins), 16, -1).sum(axis=2, dtype=np.int16)
+    step = max(1, (1 << 18) // max(1, len(right)))
+    for lo in range(0, len(left), step):
+        part = left[lo : lo + step]
+        longest = np.maximum(n[part][:, None], n[right][None, :])
+        most = ((1 - THRESHOLD) * longest + 1e-9).astype(np.int64)
+        ok = (root[part][:, None] != root[right][None, :]) & (np.abs(n[part][:, None] - n[right][None, :]) <= most)
+        i, j = np.nonzero(ok)
+        most, i, j = most[i, j], part[i], right[j]
+        for counts in (coarse, bins):
+            near = np.ones(len(i), bool)
+            for k in range(0, len(i), 1 << 16):
+                near[k : k + (1 << 16)] = _apart(counts[i[k : k + (1 << 16)]], counts[j[k : k + (1 << 16)]]) <= most[k : k + (1 << 16)]
+            most, i, j = most[near], i[near], j[near]
+        if len(i):
+            yield np.stack([np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The open pairs of each block; rows come sorted by block."""
+
+    def flushed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = lambda c: table.column(c).to_numpy()
+        key, i, j, side = col("key"), col("i"), col("j"), col("side")
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        for a, b in zip([0, *cut], [*cut, len(key)], strict=True):
+            uid, n, root = (col(c)[a:b] for c in ("rep", "n", "root"))
+            if i[a] == j[a]:  # each pair is met from both ends, once is enough
+                ends = np.arange(b - a)
+                found = _open_pairs(uid, n, root, bins[a:b], ends, ends)
+            else:
+                found = _open_pairs(uid, n, root, bins[a:b], np.flatnonzero(side[a:b] == i[a]), np.flatnonzero(side[a:b] == j[a]))
+            for pairs in found:
+                pairs = np.unique(pairs, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # a block may go on in the next batch: what is before the last one's start is whole
+        last = [batch.column(c)[-1].as_py() for c in ("key", "i", "j")]
+        same = np.all([batch.column(c).to_numpy() == v for c, v in zip(("key", "i", "j"), last, strict=True)], axis=0)
+        start = int(np.argmax(same))
+        if start or (held and [held[0].column(c)[-1].as_py() for c in ("key", "i", "j")] != last):
+            ready = [*held, batch.slice(0, start)]
+            held = []
+            yield from flushed(pa.Table.from_batches([r for r in ready if r.num_rows]))
+        held.append(batch.slice(start))
+    if held:
+        yield from flushed(pa.Table.from_batches(held))
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in kernels.chunked(batch.column("t")):
@@ -120,8 +194,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.concatenate([[0], np.cumsum(some)]) * SKETCHES, pa.int32()), pa.array(np.ascontiguousarray(keys.T).ravel().view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid").slice(a, b - a), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(bounds)), lists],
-                ["uid", "k1", "k2", "n", "keys"],
+                [batch.column("uid").slice(a, b - a), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(bounds)), binned(wh, bounds), lists],
+                ["uid", "k1", "k2", "n", "bins", "keys"],
             )
 
 
@@ -202,11 +276,18 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
 
 
-def _unfit(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of buckets that are in another class than their hub."""
+def _rest(met: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) still to be compared: of different classes, in buckets where not all are of the hub's class."""
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    named = met.join(of("rep").hint("merge"), "rep", "left").join(of("hub").hint("merge"), "hub", "left")
-    return named.filter(F.coalesce("rep_root", "rep") != F.coalesce("hub_root", "hub"))
+    named = met.filter(F.col("size") > 2).join(of("rep").hint("merge"), "rep", "left").join(of("hub").hint("merge"), "hub", "left")
+    named = common.written(named.select("key", "rep", "n", "size", F.coalesce("rep_root", "rep").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")))
+    unfit = named.filter(F.col("root") != F.col("hub_root")).select("key").distinct()
+    members = named.join(unfit.hint("merge"), "key", "left_semi").join(reps.select("rep", "bins").hint("merge"), "rep")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    members = members.withColumn("side", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    members = members.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "n", "root", "bins")
+    members = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return members.mapInArrow(_compared, "a long, b long").distinct()
 
 
 def _joined_up(roots: DataFrame, found: DataFrame) -> DataFrame:
@@ -225,36 +306,22 @@ def _joined_up(roots: DataFrame, found: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, class_uid, n_links) of every row; uid is the id wherever ids are unique."""
     texts = common.with_uid(docs.select(id_col, text_col), id_col, text_col).select(F.col("_uid").alias("uid"), F.col(text_col).alias("t"))
-    rows = common.written(texts.mapInArrow(_sketched, "uid long, k1 long, k2 long, n long, keys array<long>"))
+    rows = common.written(texts.mapInArrow(_sketched, "uid long, k1 long, k2 long, n long, bins binary, keys array<long>"))
     # copies are summed up before the shuffle
-    reps = common.written(rows.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    members = reps.select("rep", "n", F.explode("keys").alias("key"), F.lit(0).cast("long").alias("band"))
+    reps = common.written(rows.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("keys").alias("keys")))
+    members = reps.select("rep", "n", F.explode("keys").alias("key"))
+    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("h"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    hubs = hubs.select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), "size")
+    met = common.written(members.join(hubs.hint("merge"), "key").filter(F.col("rep") != F.col("hub")))
+    involved = met.select(F.col("hub").alias("uid")).unionByName(met.select(F.col("rep").alias("uid"))).distinct()
+    some = common.written(texts.join(involved.hint("merge"), "uid", "left_semi"))
     long, short = F.greatest("n", "hub_n"), F.least("n", "hub_n")
-    tested = links = roots = None
-    for election in range(ELECTIONS):
-        hubs = members.groupBy("key", "band").agg(F.min(F.struct("rep", "n")).alias("h"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-        hubs = hubs.select("key", "band", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
-        met = common.written(members.join(hubs.hint("merge"), ["key", "band"]).filter(F.col("rep") != F.col("hub")))
-        pairs = met.filter(long - short <= (1 - THRESHOLD) * long + 1e-9).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-        if election == 0:
-            involved = met.select(F.col("hub").alias("uid")).unionByName(met.select(F.col("rep").alias("uid"))).distinct()
-            some = common.written(texts.join(involved.hint("merge"), "uid", "left_semi"))
-            tested = common.written(pairs)
-            links = common.written(_linked(tested, some))
-            roots = common.components(links)
-        else:
-            fresh = common.written(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"))
-            found = common.written(_linked(fresh, some))
-            tested, links = tested.unionByName(fresh), links.unionByName(found)
-            roots = _joined_up(roots, found)
-        if election + 1 == ELECTIONS:
-            break
-        # texts of like length share the band of one of them or the next
-        band = F.floor(F.log("n") / F.log(F.lit(1 / THRESHOLD)))
-        bands = F.explode(F.array(band, band + 1)) if election == 0 else F.col("band")
-        members = common.written(_unfit(met, roots).select("rep", "n", "key", bands.alias("band")))
-        if members.isEmpty():
-            break
+    tested = common.written(met.filter(long - short <= (1 - THRESHOLD) * long + 1e-9).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    links = common.written(_linked(tested, some))
+    roots = common.components(links)
+    fresh = common.written(_rest(met, roots, reps).join(tested.hint("merge"), ["a", "b"], "left_anti"))
+    found = common.written(_linked(fresh, some))
+    links, roots = links.unionByName(found), _joined_up(roots, found)
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     named = reps.select("k1", "k2", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
     named = named.select("k1", "k2", F.coalesce("root", "rep").alias("class_uid"), F.coalesce("links", F.lit(0)).alias("n_links"))
