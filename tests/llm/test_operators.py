@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textgraph.llm import byte_bpe, common, decontamination, fingerprints, html_extraction, line_dedup, near_dedup, pu_learning, quality, queries, sharding, suffix_dedup, toxicity
+from textgraph.llm import byte_bpe, common, decontamination, fingerprints, html_extraction, kernels, line_dedup, near_dedup, pu_learning, quality, queries, sharding, suffix_dedup, toxicity
 
 PASSAGE = "this shared passage of text runs on for well over one hundred bytes so that it can be found wherever it has been copied to"
 ROWS = [
@@ -155,6 +155,26 @@ def test_copies_among_many_texts_with_a_passage(spark, monkeypatch, block):
     assert {r.uid: r.class_uid for r in near_dedup.classes(table).collect()} == {k: k - k % 2 for k, _ in rows}
 
 
+def test_sketches_keep_the_miss_rate():
+    for n in range(near_dedup.TINY + 1, 2000):
+        length = near_dedup.SHORT_LENGTH if n <= near_dedup.SHORT else near_dedup.LENGTH
+        assert (1 - near_dedup.sketch_chance(n, length)) ** near_dedup.SKETCHES <= near_dedup.MISS
+
+
+@pytest.mark.parametrize("n,every", [(5, 3), (6, 4), (7, 4), (9, 5), (10, 5), (12, 6), (20, 5), (49, 5), (60, 5), (200, 5), (200, 6)])
+def test_copies_at_the_threshold(n, every):
+    """Evenly spread changes, as many as the threshold allows, leave a common key."""
+    found = 0
+    for k in range(200):
+        a = kernels.mix(np.arange(n, dtype=np.uint64) + np.uint64(1 + 10_000 * k))
+        b = a.copy()
+        b[every - 1 :: every] ^= np.uint64(1)
+        assert near_dedup.similar(a.tolist(), b.tolist())
+        owner, keys = near_dedup._keys(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+        found += bool(np.intersect1d(keys[owner == 0], keys[owner == 1]).size)
+    assert found == 200 if n <= near_dedup.TINY else found >= 190
+
+
 def test_bins_rule_no_copies_out():
     rng = np.random.default_rng(2)
     texts = [rng.integers(0, 30, rng.integers(1, 40)) for _ in range(60)]

@@ -2,7 +2,12 @@
 
 Each of SKETCHES sketches hashes a text's word shingles, labelled with their occurrence
 number, takes the LENGTH least, and keeps them in text order; texts that agree in a sketch
-are likely close in edit distance, as order and repetition count.  Equal word sequences
+are likely close in edit distance, as order and repetition count.  Shingles are of WIDTH 2, as
+an edit spoils at most two of them: at the threshold itself, with edits as far apart as can
+be, a sketch still agrees with the chance that sketch_chance() gives, and SKETCHES of them miss
+a pair with at most MISS.  Texts of up to SHORT words have a second set with SHORT_LENGTH in
+place of LENGTH, and texts of up to TINY words, where the threshold allows one edit, a key for
+each word left out, which finds their pairs for certain.  Equal word sequences
 are folded into one representative first (by a 128-bit hash), so thousands of copies are
 one row from there on.  In each bucket of equal sketches every member is first paired with
 the least one only, its hub, so a bucket of one class costs no more than its members.  In a
@@ -18,7 +23,7 @@ computed.  Classes are the connected components of the links.
 
 Words are runs of ASCII letters (folded), digits and non-ASCII characters.  Texts without
 a word (null and empty included) are alike only if their raw texts are equal.  Texts of one
-to four words have one shingle.  Rows may repeat, ids may repeat or be null: each row gets
+to three words are never within the threshold of another sequence.  Rows may repeat, ids may repeat or be null: each row gets
 a class, named by the id of its first row.
 """
 
@@ -34,8 +39,12 @@ from pyspark.sql import functions as F
 
 from . import common, kernels
 
-WIDTH, LENGTH, SKETCHES = 5, 2, 32
+WIDTH, LENGTH, SKETCHES = 2, 3, 64
 THRESHOLD = 0.8
+#: Words up to which texts have sketches of SHORT_LENGTH too, and keys for each word left out.
+SHORT, SHORT_LENGTH, TINY = 49, 2, 9
+#: Chance at most that a pair at the threshold shares no key, however its edits lie (while edits leave the order of shingles).
+MISS = 0.01
 #: Members of a bucket in one side of a block of pairs; bins of the word counts that rule pairs out.
 BLOCK, BINS = 1024, 128
 _U = np.uint64
@@ -45,6 +54,14 @@ def _factors(n: int, salt: int) -> np.ndarray:
     return kernels.mix(np.arange(1, n + 1, dtype=_U) + _U(salt << 32)) | _U(1)
 
 
+def sketch_chance(n: int, length: int) -> float:
+    """Chance that a sketch agrees for two texts of n words at the threshold whose edits spoil as many shingles as can be."""
+    edits = int((1 - THRESHOLD) * n + 1e-9)
+    common = max(0, n - WIDTH + 1 - WIDTH * edits)
+    union = 2 * (n - WIDTH + 1) - common
+    return float(np.prod([max(0, common - i) / (union - i) for i in range(length)]))
+
+
 def labelled(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Hashes of (shingle, occurrence number within its row)."""
     if not len(h):
@@ -61,7 +78,7 @@ def labelled(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return kernels.mix(h + occurrence * _U(0xC2B2AE3D27D4EB4F))
 
 
-def sketches(h: np.ndarray, bounds: np.ndarray, n: int = SKETCHES) -> np.ndarray:
+def sketches(h: np.ndarray, bounds: np.ndarray, n: int = SKETCHES, length: int = LENGTH) -> np.ndarray:
     """An (n, rows) array of sketch keys for rows with at least one shingle (others: see the bounds)."""
     lab = labelled(h, bounds)
     size = np.diff(bounds)
@@ -76,14 +93,14 @@ def sketches(h: np.ndarray, bounds: np.ndarray, n: int = SKETCHES) -> np.ndarray
         v = ((lab * f) & top) | pos
         least = np.minimum.reduceat(v, start)
         picked = [least]
-        for _ in range(LENGTH - 1):
+        for _ in range(length - 1):
             v[v == np.repeat(picked[-1], size)] = ~_U(0)
             picked.append(np.minimum.reduceat(v, start))
         low = ~top
         ranked = np.stack(picked)
         order = np.argsort(np.where(ranked == ~_U(0), ~_U(0), ranked & low), axis=0, kind="stable")
         ranked = np.take_along_axis(ranked, order, axis=0)
-        key = np.full(len(start), i + 1, _U)
+        key = np.full(len(start), (length << 16) + i + 1, _U)
         for r in ranked:  # the hash without the place, in text order
             key = kernels.mix(key * _U(0xD6E8FEB86659FD93) + np.where(r == ~_U(0), _U(1), r & top))
         out[i] = key
@@ -177,6 +194,29 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flushed(pa.Table.from_batches(held))
 
 
+def _keys(wh: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all keys under which rows may meet."""
+    n = np.diff(bounds)
+    h, _, sb = kernels.shingles(wh, bounds, WIDTH)
+    owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    for length, those in ((SHORT_LENGTH, (n >= 4) & (n <= SHORT)), (LENGTH, n >= int(THRESHOLD * SHORT))):
+        if those.any():
+            size = np.diff(sb)
+            part = sketches(h[np.repeat(those, size)], np.concatenate([[0], np.cumsum(size[those])]), SKETCHES, length)
+            owners.append(np.repeat(np.flatnonzero(those), SKETCHES))
+            keys.append(np.ascontiguousarray(part.T).ravel())
+    tiny = np.flatnonzero((n >= 4) & (n <= TINY))
+    if len(tiny):  # all words, and all but one
+        rows = [wh[bounds[i] : bounds[i + 1]] for i in tiny]
+        left = [np.delete(r, k) if k >= 0 else r for r in rows for k in range(-1, len(r))]
+        owner = np.repeat(tiny, n[tiny] + 1)
+        key = _row_hash(np.concatenate(left), np.concatenate([[0], np.cumsum([len(x) for x in left])]), 5)
+        owner, key = np.unique(np.stack([owner.astype(_U), key]), axis=1)
+        owners.append(owner.astype(np.int64))
+        keys.append(key)
+    return np.concatenate(owners), np.concatenate(keys)
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in kernels.chunked(batch.column("t")):
@@ -187,11 +227,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p = kernels.prefix_hash(data)
                 raw = kernels.range_hash(p, offsets[empty], offsets[empty + 1])
                 k1[empty], k2[empty] = raw, kernels.mix(raw ^ _U(0x5bd1e995)) ^ np.diff(offsets)[empty].astype(_U)
-            h, _, sb = kernels.shingles(wh, bounds, WIDTH)
-            some = np.diff(sb) > 0
-            keys = sketches(h, sb) if some.any() else np.zeros((SKETCHES, 0), _U)
+            owner, keys = _keys(wh, bounds)
+            order = np.argsort(owner, kind="stable")
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(some)]) * SKETCHES, pa.int32()), pa.array(np.ascontiguousarray(keys.T).ravel().view(np.int64))
+                pa.array(np.searchsorted(owner[order], np.arange(len(bounds))), pa.int32()), pa.array(keys[order].view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
                 [batch.column("uid").slice(a, b - a), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(bounds)), binned(wh, bounds), lists],
