@@ -95,3 +95,11 @@ def test_empty_inputs(spark):
     assert graph.pmi(frame(spark, []) if False else spark.createDataFrame([], "src string, dst string, weight long")).count() == 0
     pairs = spark.createDataFrame([(1, None, "a b"), (2, "a", None)], "k int, answer string, reference string")
     assert evaluation.semantic(pairs.na.fill(""), ["k"]).filter("semantic = 0").count() == 2
+
+
+def test_every_label_has_a_summary(spark):
+    from textgraph import queries as q
+
+    d = "/root/testdata/sf0.001"
+    got = [r.label for r in q.QUERIES["vertex_summaries"](spark, d).collect()]
+    assert sorted(got) == sorted(q._labels(spark, d)) and len(got) > 10

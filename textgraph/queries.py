@@ -394,7 +394,7 @@ def vertices_paraphrase(spark, d):
 
 @query()
 def vertex_summaries(spark, d):
-    return vertices.summaries(docs(spark, d), _labels(spark, d)[:10])
+    return vertices.summaries(docs(spark, d), _labels(spark, d))
 
 
 # ---- edges --------------------------------------------------------------------------------------
