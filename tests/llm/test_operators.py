@@ -243,6 +243,14 @@ def test_html_and_bpe_frames(spark, docs, empty):
     assert byte_bpe.encoded(empty, p.path("byte_bpe_50k.tiktoken"), p.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<head><title>x</title><body><article><p>text", "<head><title>x</title><article><p>text", "<head><script>'</head><p>'</script></head><p>text",
+    "<noscript><p>text", "<template><p>text", "<svg><p>text", "<p>text<script>hidden", "<head><meta a><!-- <p>no --><style>p</style><p>text</p>",
+])
+def test_hidden_elements_left_open(page):
+    assert [b[0] for b in html_extraction.blocks(page)] == ["text"]
+
+
 def test_risk_is_non_negative_and_learns():
     rng = np.random.default_rng(1)
     pos, neg = rng.normal(1.5, 1, (400, 5)), rng.normal(-1.5, 1, (800, 5))

@@ -10,7 +10,8 @@ set here; training takes any) and decoded by Viterbi.
 
 Character references are decoded once, white space inside a block becomes one space, and
 blocks of main text are joined by one space.  Scripts, styles, templates, comments and the
-head never hold text.  Null or empty pages give an empty text, broken markup is read as
+head never hold text; a head ends at the first tag that cannot stand in it, and of other hidden
+elements that are never closed (scripts and styles apart) only the tag is skipped.  Null or empty pages give an empty text, broken markup is read as
 browsers mostly do (unclosed paragraphs, stray end tags), repeated pages give equal rows,
 and very long pages are read whole in one pass.
 """
@@ -37,6 +38,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = {"script", "style", "template", "noscript", "head", "svg", "iframe", "object", "canvas", "math", "audio", "video"}
+_RAW = {"script", "style"}
+_IN_HEAD = set("base basefont bgsound head link meta noscript script style template title".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _SECTIONS = set("article main section aside nav header footer div body form ul ol table".split())
@@ -45,6 +48,31 @@ _SAME = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"},
 _WORDS = set("cookie cookies subscribe newsletter login sign advertisement sponsored share copyright rights reserved privacy terms comments comment reply related menu search home".split())
 
 
+@lru_cache(maxsize=None)
+def _closed(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
+
+
+def _after(page: str, tag: str, at: int) -> int:
+    """Where a hidden element ends; of one that is never closed, only the tag is skipped (scripts and styles run to the end)."""
+    close = _closed(tag).search(page, at)
+    return close.end() if close else len(page) if tag in _RAW else at
+
+
+def _after_head(page: str, at: int) -> int:
+    """Where a head ends: after its end tag, or before the first tag that cannot stand in it."""
+    while m := _TOKEN.search(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if m[1]:
+            if tag == "head":
+                return at
+        elif tag and tag not in _IN_HEAD:
+            return m.start()
+        elif tag in _HIDDEN - {"head"} or tag == "title":
+            at = _after(page, tag, at)
+    return len(page)
+
+
 def _names(attrs: str) -> list[str]:
     out = []
     for m in _ATTR.finditer(attrs):
@@ -120,8 +148,7 @@ def blocks(page: str, known: dict | None = None) -> list[tuple[str, list[str], i
                 pass
         elif tag in _HIDDEN:
             if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+                at = _after_head(page, at) if tag == "head" else _after(page, tag, at)
         elif tag in _VOID:
             if tag == "br" or tag == "hr":
                 parts.append(" ")
