@@ -65,3 +65,17 @@ def test_judge_reply(spark):
 def test_char_wb(spark):
     assert one(spark, mx.char_wb(F.col("t")), t="ab") == [" ab", "ab ", " ab "]
     assert one(spark, mx.char_wb(F.col("t")), t="a") == [" a "]
+
+
+@pytest.mark.parametrize("name", ["tag_parsing_whole", "vertices_keywords_whole", "legacy_cooccurrence_whole"])
+def test_whole_texts_against_sql(spark, name):
+    import duckdb
+    from textgraph import queries as q
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    want = sorted(map(str, con.execute(q.ORACLES[name]).fetchall()))
+    assert want == sorted(str(tuple(r)) for r in q.QUERIES[name](spark, d).collect())
+    short = con.execute(q.ORACLES[name.removesuffix("_whole")]).fetchall()
+    assert want != sorted(map(str, short))

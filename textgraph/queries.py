@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import TESTDATA, UNICODE
@@ -289,6 +289,11 @@ def tag_parsing(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(tx.parse_tags(F.substring("text", 1, 120)), "|").alias("tags"))
 
 
+@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, {_BLANK})), lambda x: x <> ''), '|') AS tags FROM documents")
+def tag_parsing_whole(spark, d):
+    return docs(spark, d).select("doc_id", F.array_join(tx.parse_tags(F.col("text")), "|").alias("tags"))
+
+
 @query("SELECT n, DATE '1899-12-31' + CAST(n - CASE WHEN n > 59 THEN 1 ELSE 0 END AS INTEGER) AS d FROM (SELECT DISTINCT CAST(doc_id AS INTEGER) AS n FROM documents)".replace("AS d FROM", "AS d0 FROM").replace("SELECT n, DATE", "SELECT n, CAST(d0 AS DATE) AS d FROM (SELECT n, DATE") + ")")
 def excel_dates(spark, d):
     n = docs(spark, d).select(F.col("doc_id").cast("int").alias("n")).distinct()
@@ -321,6 +326,21 @@ def vertices_keywords(spark, d):
     return vertices.keywords(_derived(spark, d)).select("label", F.round("score", 6).alias("score"))
 
 
+def _top_tokens(x: DataFrame) -> DataFrame:
+    """(doc_id, w): the ten most frequent tokens of each whole text."""
+    n = x.select("doc_id", F.explode(tx.tokens(F.col("text"), P.token)).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "w"))).filter("r <= 10").select("doc_id", "w")
+
+
+_TOP_TOKENS = f"{DTOK}, cnt AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(t) AS w FROM dtok) GROUP BY 1, 2), tops AS (SELECT doc_id, w FROM cnt QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) <= 10)"
+
+
+@query(f"WITH {_TOP_TOKENS}, k AS (SELECT w AS label, count(*) AS n FROM tops GROUP BY w) SELECT label, round(n / (SELECT max(n) FROM k), 6) AS score FROM k")
+def vertices_keywords_whole(spark, d):
+    kw = _top_tokens(docs(spark, d)).select(F.array("w").alias("keywords"))
+    return vertices.keywords(kw).select("label", F.round("score", 6).alias("score"))
+
+
 @query(r"""
 WITH e AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS e FROM (SELECT doc_id, regexp_extract_all(text, '\p{Lu}\p{Ll}{5,}') AS x FROM documents)),
 k AS (SELECT lower(e) AS label, count(*) AS n, arg_min(CASE WHEN length(e) > 8 THEN 'LONG' ELSE 'SHORT' END, doc_id * 1000000 + pos) AS entity_type FROM e GROUP BY 1)
@@ -459,6 +479,18 @@ def legacy_cooccurrence(spark, d):
     return edges.legacy_cooccurrence(x).filter(F.col("weight") >= 2)
 
 
+@query(rf"""WITH {_TOP_TOKENS}, lab AS (SELECT doc_id, w FROM tops UNION SELECT doc_id, lower(unnest(regexp_extract_all(text, '\p{{Lu}}\p{{Ll}}{{5,}}'))) FROM documents),
+s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x, {_BLANK})), lambda x: length(x) > 20)) AS unit FROM documents),
+n AS (SELECT row_number() OVER () AS k, doc_id, unit FROM s),
+h AS (SELECT k, w AS x FROM n JOIN lab USING (doc_id) WHERE contains(lower(unit), w))
+SELECT a.x AS src, b.x AS dst, count(*) AS weight FROM h a JOIN h b ON a.k = b.k AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= 2""")
+def legacy_cooccurrence_whole(spark, d):
+    x = docs(spark, d)
+    ents = x.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{5,}"), 0)).alias("w")).withColumn("w", F.lower("w"))
+    labels = _top_tokens(x).unionByName(ents).groupBy("doc_id").agg(F.sort_array(F.collect_set("w")).alias("labels"))
+    return edges.legacy_cooccurrence(x.join(labels, "doc_id")).filter(F.col("weight") >= 2)
+
+
 @query(f"""WITH {_TFIDF.replace('>= 3 ORDER', '>= 2 ORDER').replace('LIMIT 450', 'LIMIT 300')},
 pick AS (SELECT doc_id, term AS x FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(tfidf, 9) DESC, term) AS n FROM tw) WHERE n <= 20),
 edges AS (SELECT a.x AS src, b.x AS dst, count(*) AS weight FROM pick a JOIN pick b ON a.doc_id = b.doc_id AND a.x < b.x GROUP BY 1, 2),
