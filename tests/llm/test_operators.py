@@ -181,13 +181,45 @@ def test_bins_rule_no_copies_out():
     texts += [np.where(rng.random(len(t)) < 0.15, 99, t) for t in texts]
     wh = np.concatenate(texts).astype(np.uint64)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    bins = np.frombuffer(b"".join(near_dedup.binned(wh, bounds).to_pylist()), np.uint8).reshape(-1, near_dedup.BINS)
+    bins = near_dedup.binned(wh, bounds)
     at = np.arange(len(texts))
-    got = {(int(a), int(b)) for p in near_dedup._open_pairs(at, np.diff(bounds), at, bins, at, at) for a, b in p.T}
+    got = {(int(a), int(b)) for p in near_dedup._open_pairs(np.diff(bounds), at, bins, at, at) for a, b in zip(*p, strict=True)}
     near = {(a, b) for a in at for b in at if a < b and near_dedup.similar(texts[a].tolist(), texts[b].tolist())}
     assert near and near <= got
 
 
+@pytest.mark.parametrize("changed", [0.1, 0.15, 0.18, 0.2])
+@pytest.mark.parametrize("n", [30, 100, 400])
+def test_recall_by_similarity(changed, n):
+    """Of pairs within the threshold with edits at random places, at least nine in ten share a key."""
+    rng = np.random.default_rng(n)
+    near = found = 0
+    for k in range(200):
+        a = rng.integers(0, 2**62, n).astype(np.uint64)
+        b = np.where(rng.random(n) < changed, rng.integers(0, 2**62, n).astype(np.uint64), a)
+        if near_dedup.similar(a.tolist(), b.tolist()):
+            owner, keys = near_dedup._keys(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+            near, found = near + 1, found + bool(np.intersect1d(keys[owner == 0], keys[owner == 1]).size)
+    assert near >= 20 and found >= 0.9 * near
+
+
+def test_components_against_plain_search(spark):
+    rng = np.random.default_rng(4)
+    path = [(i, i + 1) for i in range(100, 300)]  # a long chain in order of the ids
+    pairs = path + [(int(a), int(b)) for a, b in rng.integers(400, 700, (250, 2))] + [(800, 801), (801, 800), (802, 802)]
+    root = {x: x for p in pairs for x in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {n: r for n, r in root.items() if any(n in p and p[0] != p[1] for p in pairs)}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_fingerprints(docs, empty):
     got = fingerprints.compared(docs).select("id", "n", "edited_sha256", "near_edited", "near_next").collect()
     rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))

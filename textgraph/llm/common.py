@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from functools import reduce
+from itertools import count as counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,24 +22,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset (tests on one machine), a folder beside the warehouse is set.
+    Only on one machine (master local, as in tests) it may be unset: then it is a folder beside
+    the warehouse.  Anywhere else that folder could be local to one machine, so it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where
+    if where:
+        return where
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows of df, kept as a Parquet table in the shared folder: cuts lineage, and survives lost executors."""
+    """The rows of df, kept as a Parquet table in the shared folder: cuts lineage, and survives lost executors.
+
+    Tables that a returned frame still reads stay in the folder, whose keeper clears it;
+    those that served an operator alone go with discard().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each name with as many underscores before it as keep it apart from the columns (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    return [next(n for n in ("_" * k + name for k in counter()) if n.lower() not in taken) for name in names]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -84,26 +104,47 @@ def with_uid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ou
     n, present, distinct = docs.agg(F.count(F.lit(1)), F.count(id_col), F.count_distinct(id_col)).first()
     if n == present == distinct and dict(docs.dtypes)[id_col] in ("bigint", "int"):
         return docs.withColumn(out, F.col(id_col).cast("long"))
-    ranged = docs.withColumn("_r", range_of(F.col(id_col), id_bounds(docs, id_col)))
-    order = Window.partitionBy("_r").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(text_col), F.lit("")))
-    return written(ranged.withColumn(out, F.shiftleft(F.col("_r").cast("long"), 40) + F.row_number().over(order)).drop("_r"))
+    (r,) = unused([*docs.columns, out], "_r")
+    ranged = docs.withColumn(r, range_of(F.col(id_col), id_bounds(docs, id_col)))
+    order = Window.partitionBy(r).orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(text_col), F.lit("")))
+    return written(ranged.withColumn(out, F.shiftleft(F.col(r).cast("long"), 40) + F.row_number().over(order)).drop(r))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of undirected edges (a, b): root is the least node.
 
-    Each round every node takes the least root among its neighbours' and then that root's
-    own root (pointer jumping), so long chains halve.  Rounds are written to the shared
-    folder; only the number of changed rows comes to the driver.
+    Randomised contraction (Boegeholz, Brand and Todor, "In-database connected component
+    analysis"): in each round every node is mapped to the first of itself and its neighbours,
+    by id in the first round, which settles stars round a least hub at once, and in the order of
+    a hash that changes with every round after it, which shrinks any graph by a constant factor
+    on average.  Edges are carried over to the images until none is left; so no number of
+    rounds is set, and all rounds together cost a few times the first.  Only the question
+    whether edges are left comes to the driver.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
-    for _ in range(max_rounds):
-        near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        step = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
-        jump = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = written(step.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")))
-        if step.filter(F.col("old") != F.col("root")).isEmpty():
-            break
-        roots = step.select("node", "root")
-    return roots
+    left = written(edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    steps: list[DataFrame] = []
+    while not left.isEmpty():
+        turn = F.lit(len(steps))
+        place = lambda c: F.struct((F.xxhash64(turn, c) if steps else c).alias("h"), c.alias("id"))  # noqa: B023, E731
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("nbr")), F.struct(F.col("b").alias("node"), F.col("a").alias("nbr")))).alias("e"))
+        first = ends.groupBy(F.col("e.node").alias("node")).agg(F.min(place(F.col("e.nbr"))).alias("n"))
+        step = written(first.select("node", F.least("n", place(F.col("node")))["id"].alias("to")))
+        image = lambda c: step.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")).hint("merge")  # noqa: B023, E731
+        x, y = F.col("a_to"), F.col("b_to")
+        moved = left.join(image("a"), "a").join(image("b"), "b").filter(x != y)
+        after = written(moved.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct())
+        discard(left)
+        left = after
+        steps.append(step)
+    discard(left)
+    if not steps:
+        return edges.sparkSession.createDataFrame([], f"node {dict(edges.dtypes)['a']}, root {dict(edges.dtypes)['a']}")
+    found = steps[-1].select("node", F.col("to").alias("root"))
+    for step in steps[-2::-1]:
+        found = step.join(found.select(F.col("node").alias("to"), "root").hint("merge"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+    found = written(found)
+    discard(*steps)
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    named = written(found.join(least.hint("merge"), "root").select("node", F.col("least").alias("root")))
+    discard(found)
+    return named

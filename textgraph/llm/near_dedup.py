@@ -9,22 +9,31 @@ a pair with at most MISS.  Texts of up to SHORT words have a second set with SHO
 place of LENGTH, and texts of up to TINY words, where the threshold allows one edit, a key for
 each word left out, which finds their pairs for certain.  Equal word sequences
 are folded into one representative first (by a 128-bit hash), so thousands of copies are
-one row from there on.  In each bucket of equal sketches every member is first paired with
-the least one only, its hub, so a bucket of one class costs no more than its members.  In a
-bucket with a member of another class than the hub's, all pairs of different classes follow,
-in blocks of about BLOCK by BLOCK members: the lengths and the counts of words in BINS bins
-rule most of them out, without loss, and the others are compared in full.  So two copies
-that share any sketch find each other, however many texts share their passage; the price
-grows with the square of the texts in a bucket that are no copies of each other.  A pair is
-a link if the edit distance of the word sequences,
-computed bit-parallel in a band of the width that the threshold allows, leaves a similarity
-1 - d/max(n, m) of at least THRESHOLD; pairs whose lengths rule that out are never
-computed.  Classes are the connected components of the links.
+one row from there on.  The least member of each bucket of equal sketches is its hub, and
+members are compared in three steps, each only for members that are not of one class yet:
+
+1. each text with the hub that it shares most sketches with;
+2. each text with its other hubs;
+3. in buckets that still hold several classes, all pairs of different classes, in blocks of
+   about BLOCK members or BLOCK_WORDS words on either side.  A task gets the words of a block
+   and joins its classes up as it goes: pairs that are of one class by then, or that meet
+   in another bucket first, are passed over, lengths, counts of words by bin and the exact
+   overlap of the words rule most others out, without loss, and the rest are aligned.
+   What a block returns is a forest: fewer links than it has members.
+
+So two copies that share any sketch come into one class, however many texts share their
+passage; the time, but neither memory nor what is shuffled as pairs, grows with the square of
+the texts in a bucket that are no copies of each other.  A pair is a link if the edit distance
+of the word sequences, computed bit-parallel in a band of the width that the threshold
+allows, leaves a similarity 1 - d/max(n, m) of at least THRESHOLD; pairs whose lengths rule
+that out are never computed.  Classes are the connected components of the links.
 
 Words are runs of ASCII letters (folded), digits and non-ASCII characters.  Texts without
 a word (null and empty included) are alike only if their raw texts are equal.  Texts of one
-to three words are never within the threshold of another sequence.  Rows may repeat, ids may repeat or be null: each row gets
-a class, named by the id of its first row.
+to three words are never within the threshold of another sequence.  Very long texts are a
+chunk, and in step 3 a block, of their own.  Rows may repeat, ids may repeat or be null: each
+row gets a class, named by the id of its first row.  An empty table gives no classes; columns
+of the input come back untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,8 +54,8 @@ THRESHOLD = 0.8
 SHORT, SHORT_LENGTH, TINY = 49, 2, 9
 #: Chance at most that a pair at the threshold shares no key, however its edits lie (while edits leave the order of shingles).
 MISS = 0.01
-#: Members of a bucket in one side of a block of pairs; bins of the word counts that rule pairs out.
-BLOCK, BINS = 1024, 128
+#: Members of a bucket and their words on one side of a block of pairs, about; bins of the word counts that rule pairs out.
+BLOCK, BLOCK_WORDS, BINS = 1024, 1 << 20, 128
 _U = np.uint64
 
 
@@ -123,24 +132,22 @@ def _row_hash(wh: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
     return kernels.mix((p[bounds[1:]] - p[bounds[:-1]]) * inverse[bounds[:-1]] + n * _U(0x9E3779B97F4A7C15))
 
 
-def binned(wh: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Each row's counts of words by bin, a byte each (255 and more are alike)."""
+def binned(wh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each row's counts of words by bin."""
     rows = len(bounds) - 1
     at = np.repeat(np.arange(rows), np.diff(bounds)) * BINS + (kernels.mix(wh) % _U(BINS)).astype(np.int64)
-    counts = np.minimum(np.bincount(at, minlength=rows * BINS), 255).astype(np.uint8)
-    offsets = np.arange(rows + 1, dtype=np.int32) * BINS
-    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(counts)])
+    return np.bincount(at, minlength=rows * BINS).astype(np.int32).reshape(rows, BINS)
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """At least so many edits lie between texts with these counts by bin."""
-    d = x.astype(np.int16) - y
+    d = x - y
     return np.maximum(np.maximum(d, 0).sum(axis=1, dtype=np.int64), np.maximum(-d, 0).sum(axis=1, dtype=np.int64))
 
 
-def _open_pairs(uid: np.ndarray, n: np.ndarray, root: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
-    """(2, pairs) of left with right members of different classes that no bound rules out."""
-    coarse = bins.reshape(len(bins), 16, -1).sum(axis=2, dtype=np.int16)
+def _open_pairs(n: np.ndarray, root: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right) members of different classes that neither lengths nor counts by bin rule out."""
+    coarse = bins.reshape(len(bins), 16, -1).sum(axis=2, dtype=np.int32)
     step = max(1, (1 << 18) // max(1, len(right)))
     for lo in range(0, len(left), step):
         part = left[lo : lo + step]
@@ -154,44 +161,92 @@ def _open_pairs(uid: np.ndarray, n: np.ndarray, root: np.ndarray, bins: np.ndarr
             for k in range(0, len(i), 1 << 16):
                 near[k : k + (1 << 16)] = _apart(counts[i[k : k + (1 << 16)]], counts[j[k : k + (1 << 16)]]) <= most[k : k + (1 << 16)]
             most, i, j = most[near], i[near], j[near]
-        if len(i):
-            yield np.stack([np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])])
+        yield i, j
+
+
+class _Block:
+    """The members of a bucket on both sides of a block, and the links that join their classes up."""
+
+    def __init__(self, key: int, uid: np.ndarray, root: np.ndarray, keys: list[np.ndarray], words: list[np.ndarray]):
+        self.key, self.uid, self.root, self.keys, self.words = key, uid, root, keys, words
+        self.n = np.array([len(w) for w in words])
+        self.above = {int(r): int(r) for r in root}
+        self.bags: dict[int, np.ndarray] = {}
+
+    def _find(self, x: int) -> int:
+        while self.above[x] != x:
+            self.above[x] = x = self.above[self.above[x]]
+        return x
+
+    def _bag(self, i: int) -> np.ndarray:
+        """The words with their occurrence numbers, as sorted hashes."""
+        if i not in self.bags:
+            w = self.words[i].astype(_U)
+            self.bags[i] = np.unique(labelled(w, np.array([0, len(w)])))
+        return self.bags[i]
+
+    def links(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+        bounds = np.concatenate([[0], np.cumsum(self.n)])
+        bins = binned(np.concatenate(self.words).astype(_U), bounds)
+        for ii, jj in _open_pairs(self.n, self.root, bins, left, right):
+            for i, j in zip(ii.tolist(), jj.tolist(), strict=True):
+                if i == j or self._find(int(self.root[i])) == self._find(int(self.root[j])):
+                    continue
+                if np.intersect1d(self.keys[i], self.keys[j], assume_unique=True)[0] != self.key:
+                    continue  # they meet in that bucket
+                longest = int(max(self.n[i], self.n[j]))
+                most = int((1 - THRESHOLD) * longest + 1e-9)
+                if longest - len(np.intersect1d(self._bag(i), self._bag(j), assume_unique=True)) > most:
+                    continue
+                if banded_distance(self.words[i].tolist(), self.words[j].tolist(), most) is not None:
+                    self.above[self._find(int(self.root[i]))] = self._find(int(self.root[j]))
+                    yield int(self.uid[i]), int(self.uid[j])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one block after another; they come sorted by block."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+            here = (key[a], i[a], j[a])
+            if held and here != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = here
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The open pairs of each block; rows come sorted by block."""
+    """The links that join classes up in each block."""
+    for rows in _blocks(batches):
+        key, i, j = (int(rows.column(c)[0].as_py()) for c in ("key", "i", "j"))
+        uid, root, side = (rows.column(c).to_numpy() for c in ("rep", "root", "side"))
+        if len(np.unique(root)) < 2:
+            continue
+        keys = [np.array(x, np.int64) for x in rows.column("keys").to_pylist()]
+        words = [np.frombuffer(x, np.uint32) for x in rows.column("words").to_pylist()]
+        found = list(_Block(key, uid, root, keys, words).links(np.flatnonzero(side == i), np.flatnonzero(side == j)))
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def flushed(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = lambda c: table.column(c).to_numpy()
-        key, i, j, side = col("key"), col("i"), col("j"), col("side")
-        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
-        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        for a, b in zip([0, *cut], [*cut, len(key)], strict=True):
-            uid, n, root = (col(c)[a:b] for c in ("rep", "n", "root"))
-            if i[a] == j[a]:  # each pair is met from both ends, once is enough
-                ends = np.arange(b - a)
-                found = _open_pairs(uid, n, root, bins[a:b], ends, ends)
-            else:
-                found = _open_pairs(uid, n, root, bins[a:b], np.flatnonzero(side[a:b] == i[a]), np.flatnonzero(side[a:b] == j[a]))
-            for pairs in found:
-                pairs = np.unique(pairs, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    held: list[pa.RecordBatch] = []
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their words, 32 bits of hash each."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        # a block may go on in the next batch: what is before the last one's start is whole
-        last = [batch.column(c)[-1].as_py() for c in ("key", "i", "j")]
-        same = np.all([batch.column(c).to_numpy() == v for c, v in zip(("key", "i", "j"), last, strict=True)], axis=0)
-        start = int(np.argmax(same))
-        if start or (held and [held[0].column(c)[-1].as_py() for c in ("key", "i", "j")] != last):
-            ready = [*held, batch.slice(0, start)]
-            held = []
-            yield from flushed(pa.Table.from_batches([r for r in ready if r.num_rows]))
-        held.append(batch.slice(start))
-    if held:
-        yield from flushed(pa.Table.from_batches(held))
+        out = []
+        for _, _, data, offsets in kernels.chunked(batch.column("t")):
+            wh, _, _, bounds = kernels.words(data, offsets)
+            w = (wh >> _U(32)).astype(np.uint32)
+            out += [w[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(bounds) - 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, pa.binary())], ["rep", "words"])
 
 
 def _keys(wh: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,8 +288,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.searchsorted(owner[order], np.arange(len(bounds))), pa.int32()), pa.array(keys[order].view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid").slice(a, b - a), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(bounds)), binned(wh, bounds), lists],
-                ["uid", "k1", "k2", "n", "bins", "keys"],
+                [batch.column("uid").slice(a, b - a), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(bounds)), lists],
+                ["uid", "k1", "k2", "n", "keys"],
             )
 
 
@@ -315,18 +370,28 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
 
 
-def _rest(met: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) still to be compared: of different classes, in buckets where not all are of the hub's class."""
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    named = met.filter(F.col("size") > 2).join(of("rep").hint("merge"), "rep", "left").join(of("hub").hint("merge"), "hub", "left")
-    named = common.written(named.select("key", "rep", "n", "size", F.coalesce("rep_root", "rep").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")))
+def _apart_still(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs (hub, rep, ...) with ``hub_root`` and ``root``, where a node without a link is its own root."""
+    of = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
+    both = pairs.join(of("rep", "_r").hint("merge"), "rep", "left").join(of("hub", "_h").hint("merge"), "hub", "left")
+    return both.select(*pairs.columns, F.coalesce("_r", "rep").alias("root"), F.coalesce("_h", "hub").alias("hub_root"))
+
+
+def _rest(met: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links that join up what is still apart in buckets that hold members of several classes."""
+    named = common.written(_apart_still(met.filter(F.col("size") > 2), roots))
     unfit = named.filter(F.col("root") != F.col("hub_root")).select("key").distinct()
-    members = named.join(unfit.hint("merge"), "key", "left_semi").join(reps.select("rep", "bins").hint("merge"), "rep")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    members = members.withColumn("side", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    members = members.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "n", "root", "bins")
-    members = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return members.mapInArrow(_compared, "a long, b long").distinct()
+    members = named.join(unfit.hint("merge"), "key", "left_semi")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all_words") / BLOCK_WORDS))
+    open_ = members.groupBy("rep", "root").agg(F.sort_array(F.collect_list(F.struct("key", blocks.alias("blocks")))).alias("ks"))
+    words = texts.join(open_.select(F.col("rep").alias("uid")).hint("merge"), "uid", "left_semi").mapInArrow(_worded, "rep long, words binary")
+    each = open_.join(words.hint("merge"), "rep").select("rep", "root", "words", F.col("ks.key").alias("keys"), F.explode("ks").alias("k"))
+    each = each.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("k.blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k.blocks") - 1)))
+    each = each.select(F.col("k.key").alias("key"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "root", "keys", "words")
+    each = each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = common.written(each.mapInArrow(_compared, "a long, b long"))
+    common.discard(named)
+    return found
 
 
 def _joined_up(roots: DataFrame, found: DataFrame) -> DataFrame:
@@ -343,41 +408,47 @@ def _joined_up(roots: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, class_uid, n_links) of every row; uid is the id wherever ids are unique."""
-    texts = common.with_uid(docs.select(id_col, text_col), id_col, text_col).select(F.col("_uid").alias("uid"), F.col(text_col).alias("t"))
-    rows = common.written(texts.mapInArrow(_sketched, "uid long, k1 long, k2 long, n long, bins binary, keys array<long>"))
+    """(uid, class_uid) of every row; uid is the id wherever ids are unique."""
+    texts = common.with_uid(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id", "t", "uid").select("uid", "t")
+    rows = common.written(texts.mapInArrow(_sketched, "uid long, k1 long, k2 long, n long, keys array<long>"))
     # copies are summed up before the shuffle
-    reps = common.written(rows.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("keys").alias("keys")))
+    reps = common.written(rows.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     members = reps.select("rep", "n", F.explode("keys").alias("key"))
-    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("h"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    hubs = hubs.select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), "size")
+    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("h"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("all_words")).filter(F.col("size") > 1)
+    hubs = hubs.select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), "size", "all_words")
     met = common.written(members.join(hubs.hint("merge"), "key").filter(F.col("rep") != F.col("hub")))
     involved = met.select(F.col("hub").alias("uid")).unionByName(met.select(F.col("rep").alias("uid"))).distinct()
     some = common.written(texts.join(involved.hint("merge"), "uid", "left_semi"))
     long, short = F.greatest("n", "hub_n"), F.least("n", "hub_n")
-    tested = common.written(met.filter(long - short <= (1 - THRESHOLD) * long + 1e-9).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    links = common.written(_linked(tested, some))
+    pairs = common.written(met.filter(long - short <= (1 - THRESHOLD) * long + 1e-9).groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("shared")))
+    nearest = pairs.groupBy("rep").agg(F.max(F.struct("shared", -F.col("hub"))).alias("m")).select((-F.col("m.col2")).alias("hub"), "rep")
+    nearest = common.written(nearest)
+    ends = lambda p: p.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    links = common.written(_linked(ends(nearest), some))
     roots = common.components(links)
-    fresh = common.written(_rest(met, roots, reps).join(tested.hint("merge"), ["a", "b"], "left_anti"))
-    found = common.written(_linked(fresh, some))
-    links, roots = links.unionByName(found), _joined_up(roots, found)
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    named = reps.select("k1", "k2", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
-    named = named.select("k1", "k2", F.coalesce("root", "rep").alias("class_uid"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    return rows.select("uid", "k1", "k2").join(named, ["k1", "k2"]).select("uid", "class_uid", "n_links")
+    others = _apart_still(pairs.select("hub", "rep").join(nearest.hint("merge"), ["hub", "rep"], "left_anti"), roots)
+    more = common.written(_linked(ends(others.filter(F.col("root") != F.col("hub_root"))), some))
+    joined = _joined_up(roots, more)
+    last = _rest(met, joined, some)
+    joined = _joined_up(joined, last)
+    named = reps.select("k1", "k2", "rep").join(joined.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")
+    named = common.written(named.select("k1", "k2", F.coalesce("root", "rep").alias("class_uid")))
+    common.discard(reps, met, some, pairs, nearest, links, more, last)
+    return rows.select("uid", "k1", "k2").join(named.hint("merge"), ["k1", "k2"]).select("uid", "class_uid")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class, the first by id; columns as before."""
-    known = common.with_uid(docs, id_col, text_col)
-    keep = classes(known, "_uid", text_col).filter(F.col("uid") == F.col("class_uid")).select(F.col("uid").alias("_uid"))
-    return known.join(keep.hint("merge"), "_uid", "left_semi").select(*docs.columns)
+    (uid,) = common.unused(docs.columns, "_uid")
+    known = common.with_uid(docs, id_col, text_col, uid)
+    keep = classes(known.select(F.col(uid).alias("doc_id"), F.col(text_col).alias("text"))).filter(F.col("uid") == F.col("class_uid")).select(F.col("uid").alias(uid))
+    return known.join(keep.hint("merge"), uid, "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    known = common.with_uid(docs)
-    out = classes(known, "_uid")
-    ids = known.select(F.col("_uid").alias("uid"), "doc_id")
+    known = common.with_uid(docs, out="uid")
+    out = classes(known.select(F.col("uid").alias("doc_id"), "text"))
+    ids = known.select("uid", "doc_id")
     first = ids.select(F.col("uid").alias("class_uid"), F.col("doc_id").alias("class_id"))
-    return ids.join(out, "uid").join(first, "class_uid").select("doc_id", "class_id", "n_links", (F.col("uid") == F.col("class_uid")).alias("is_first"))
+    return ids.join(out, "uid").join(first, "class_uid").select("doc_id", "class_id", (F.col("uid") == F.col("class_uid")).alias("is_first"))

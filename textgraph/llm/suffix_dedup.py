@@ -359,8 +359,8 @@ def deduplicated(texts: DataFrame, keep_text: bool = True) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = common.with_uid(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    texts = known.select(F.col("_uid").alias("uid"), F.col("text").alias("t"))
+    known = common.with_uid(common.table(spark, sf_dir, "documents").select("doc_id", "text"), out="uid")
+    texts = known.select("uid", F.col("text").alias("t"))
     out = deduplicated(texts, keep_text=False)
-    ids = known.select(F.col("_uid").alias("uid"), "doc_id")
+    ids = known.select("uid", "doc_id")
     return out.join(ids, "uid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
