@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from textgraph.llm import byte_bpe, common, decontamination, fingerprints, html_extraction, kernels, line_dedup, near_dedup, pu_learning, quality, queries, sharding, suffix_dedup, toxicity
@@ -257,6 +258,141 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contained(empty, items).count() == 0 and decontamination.clean(docs, items.filter("false")).count() == len(ROWS)
 
 
+def plain_fingerprint(text):
+    words = text.lower().split()
+    def chained(ws):
+        h = 42
+        for w in ws:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        return h - (1 << 64) if h >> 63 else h
+    if len(words) >= 5:
+        hashes = {chained(words[i : i + 5]) for i in range(len(words) - 4)}
+    else:
+        hashes = {chained([" ".join(words)])} if words else set()
+    return sorted(hashes)[: fingerprints.K]
+
+
+def plain_likeness(a, b):
+    union = sorted({*a, *b})[: fingerprints.K]
+    return len({*union} & {*a} & {*b}) / len(union) if union else 1.0
+
+
+def test_fingerprints_against_plain_python(spark):
+    """The whole query at sf0.001: counts, digests, sketches and likenesses."""
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect()]
+    got = {r.doc_id: r for r in queries.QUERIES["op2_fingerprints"](spark, d).collect()}
+    assert len(got) == len(rows)
+    hexed = lambda f: "".join(f"{h % (1 << 64):016X}" for h in f)
+    for i, (k, t) in enumerate(rows):
+        nxt = rows[(i + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        f, fe, fn = (plain_fingerprint(x) for x in (t, edited, nxt))
+        r = got[k]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (hexed(f), hexed(fe))
+        assert abs(r.near_edited - plain_likeness(f, fe)) < 1e-9 and abs(r.near_next - plain_likeness(f, fn)) < 1e-9
+
+
+def test_names_that_clash_keep_their_values(spark):
+    """Each operator that returns the input's columns leaves values of columns named as its own."""
+    import corpus_pipeline as cp
+    import public_tokenizers as p
+
+    names = ["_uid", "_r", "_id", "_lines", "_gone", "_parts", "_stay", "_score", "_kept", "_n_lines", "_n_dropped", "score", "key", "rep"]
+    base = spark.createDataFrame([(i if i < 8 else 7, f"line one {i}\nshared", "xx", "s") for i in range(12)], "doc_id long, text string, lang string, source string")
+    docs = base.withColumns({n: F.concat(F.lit(n), "text") for n in names}).withColumn("n_chars", F.length("text").cast("long"))
+    d = "/root/testdata/sf0.001"
+    kept = lambda df: {(r.doc_id, tuple(r[n] for n in names)) for r in df.collect()}
+    every = kept(docs)
+    for stage in (cp.keep_quality, cp.drop_lines, cp.drop_near_copies, cp.drop_contaminated):
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns and kept(out) <= every
+    assert kept(cp.drop_lines(spark, docs, d)) == every and kept(cp.drop_near_copies(spark, docs, d)) == every
+    assert {r.text for r in cp.drop_lines(spark, docs, d).collect()} == {f"line one {i}" for i in range(12)}
+    for op in (lambda: byte_bpe.encoded(docs.withColumn("_IDS", F.lit(1)), p.path("byte_bpe_50k.tiktoken"), p.PATTERN), lambda: html_extraction.extracted(docs.withColumn("_text", F.lit(1)), "text"), lambda: line_dedup.dropped_lines(docs)):
+        with pytest.raises(ValueError):
+            op()
+
+
+def test_texts_beyond_a_chunk(spark):
+    """A text of over 1 MiB between short ones, through every operator on texts."""
+    import public_tokenizers as p
+
+    rng = np.random.default_rng(0)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(4000)]
+    long = " ".join(words[i] for i in rng.integers(0, 4000, 200_000)) + "\ntail"
+    near = long.replace(words[0], "changed").replace(words[1], "changed")
+    texts = ["short one here now", long, None, near, long, "another short one"]
+    assert len(long) > kernels.CHUNK_BYTES
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    out = {r.doc_id: r for r in line_dedup.dropped_lines(df, min_docs=3).select("doc_id", "_n_dropped", F.sha2("_kept", 256).alias("s")).collect()}
+    assert [out[i]._n_dropped for i in range(6)] == [0, 1, 0, 1, 1, 0] and out[1].s == sha(long.removesuffix("\ntail"))
+    assert {r.uid: r.class_uid for r in near_dedup.classes(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 1, 4: 1, 5: 5}
+    cut = {r.uid: r for r in suffix_dedup.deduplicated(df.select(F.col("doc_id").alias("uid"), F.col("text").alias("t")), False).collect()}
+    assert cut[4].n_removed == len(long) and cut[1].n_removed == removed(["", long])[1][1]
+    items = spark.createDataFrame([(1, " ".join(long.split()[100_000:100_020]))], "item_id long, text string")
+    assert {r.id for r in decontamination.contained(df, items).collect()} >= {1, 4}
+    enc = {r.doc_id: r for r in byte_bpe.encoded(df, p.path("byte_bpe_50k.tiktoken"), p.PATTERN, keep_ids=False).drop("text").collect()}
+    assert all(enc[i]._decoded_sha256 == sha(t) for i, t in enumerate(texts))
+    fp = {r.id: r for r in fingerprints.compared(df).select("id", "n", "f").collect()}
+    assert fp[1].n == len(long) and fp[1].f == fp[4].f == plain_fingerprint(long)
+    sh = {r.id: r for r in sharding.shards(df, bins=2).collect()}
+    assert sh[1].size == len(long) + 16 and sh[1].shard == sh[4].shard
+    scorer = quality.fit(df, spark.createDataFrame([(0, 1)], "doc_id long, quality int"))
+    scores = {r.doc_id: r.score for r in pu_learning.with_score(df, "text", scorer).drop("text").collect()}
+    assert scores[1] == scores[4] and all(0 <= s <= 1 for s in scores.values())
+    page = "<nav><a href=/>Home</a></nav><article>" + f"<p>{long}</p></article>"
+    pages = spark.createDataFrame([(1, page), (1, page), (2, "")], "page_id long, html string")
+    text = [r._text for r in html_extraction.extracted(pages).collect()]
+    assert text[0] == text[1] == " ".join(long.split()) and text[2] == ""
+    assert html_extraction.extracted(pages.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<div><h1>A plain title</h1><p>The first paragraph of the text, which runs on for a while.</p><p>Then a second one follows, with more to say.</p></div>",
+     "A plain title The first paragraph of the text, which runs on for a while. Then a second one follows, with more to say."),
+    ("<table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td><td><h1>On tables</h1><p>Old pages put their text into cells, like this one here.</p><p>More of it follows, as it did then.</p></td></tr></table>",
+     "On tables Old pages put their text into cells, like this one here. More of it follows, as it did then."),
+    ("<body><div><a href=/>Home</a> <a href=/b>About</a></div><div><div><p>The story starts here, with a long sentence that says a lot.</p><p>It goes on for another sentence, and then it ends.</p></div></div><div>&copy; 2020 Me, all rights reserved</div></body>",
+     "The story starts here, with a long sentence that says a lot. It goes on for another sentence, and then it ends."),
+])
+def test_layouts_that_the_page_maker_does_not_draw(page, want):
+    assert html_extraction.default_model().extract(page) == want
+
+
+def test_groups_are_packed_as_if_one_by_one(spark, monkeypatch):
+    """Bin sizes equal those of packing every group by itself; few large sizes, many equal small ones."""
+    rng = np.random.default_rng(3)
+    texts = [f"{i:03d}" + "x" * int(rng.choice([5, 5, 5, 40, 41, 300])) for i in range(400)]
+    texts += [texts[int(i)] for i in rng.integers(0, 400, 80)] + ["y" * 50] * 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = {}
+    for t in texts:
+        sizes[t] = sizes.get(t, 0) + len(t) + 16
+    counted = sorted(((s, list(sizes.values()).count(s)) for s in set(sizes.values())), reverse=True)
+    for most in (200_000, 1):  # the bins of each size by broadcast, and by a shuffle
+        monkeypatch.setattr(sharding, "MAX_SIZES", most)
+        r = sharding.shards(df, bins=7).toPandas()
+        assert len(r) == len(texts) and all(sorted(g) == list(range(len(g))) for _, g in r.groupby("shard")["slot"])
+        shard_of = dict(zip(r["id"], r["shard"]))
+        assert len({(t, shard_of[i]) for i, t in enumerate(texts)}) == len(sizes)
+        low = max(max(sizes.values()), -(-sum(sizes.values()) // 7))
+        plain = next(p for c in range(low, 2 * low) if (p := sharding.best_fit_decreasing(list(sizes.values()), c, 7)) is not None)
+        want = sorted(sum(s for s, b in zip(sizes.values(), plain) if b == k) for k in range(7))
+        assert sorted(r.groupby("shard")["size"].sum()) == want or max(r.groupby("shard")["size"].sum()) <= 1.01 * max(want)
+        dealt = sharding.pack_into(counted, 7)
+        full = [sum(s * k for (s, _), d in zip(counted, dealt) for b, k in d if b == shard) for shard in range(7)]
+        assert r.groupby("shard")["size"].sum().to_dict() == {i: x for i, x in enumerate(full) if x}
+
+
+def test_shards_of_near_equal_size(spark):
+    d = "/root/testdata/sf0.01"
+    s = queries.QUERIES["op6_sharding"](spark, d).groupBy("shard").agg(F.sum("size").alias("s")).toPandas()["s"]
+    assert len(s) == sharding.SHARDS and s.max() <= 1.001 * s.mean()
+
+
 def test_sharding(docs, empty):
     r = sharding.shards(docs, bins=3).toPandas()
     assert len(r) == len(ROWS) and set(r["shard"]) <= {0, 1, 2}

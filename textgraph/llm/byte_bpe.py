@@ -9,7 +9,8 @@ once.  Texts are then mapped through the finished words, which a worker keeps be
 blocks up to a bound (MAX_WORDS; a full table is emptied, which costs time only).
 
 Edge cases: a null or empty text has no tokens; any bytes decode to what was encoded; very
-long texts are handled whole; repeated rows give equal rows.
+long texts are handled whole; repeated rows give equal rows; an empty table gives no rows;
+other columns pass through, and those named like the added ones are an error.
 """
 
 from __future__ import annotations
@@ -157,7 +158,9 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text_col: str = "text", *, keep_ids: bool = True) -> DataFrame:
-    """docs with _n_tokens, _ids_sha256, _decoded_sha256 and, if asked for, the ids as _ids."""
+    """docs with _n_tokens, _ids_sha256, _decoded_sha256 and, if asked for, the ids as _ids; columns of docs by these names are an error."""
+    if common.unused(docs.columns, "_n_tokens", "_ids_sha256", "_decoded_sha256", "_ids") != ["_n_tokens", "_ids_sha256", "_decoded_sha256", "_ids"]:
+        raise ValueError("docs has columns named as those to be added")
     extra = [T.StructField("_n_tokens", T.LongType()), T.StructField("_ids_sha256", T.StringType()), T.StructField("_decoded_sha256", T.StringType())]
     if keep_ids:
         extra.append(T.StructField("_ids", T.BinaryType()))

@@ -33,15 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, kept as a Parquet table in the shared folder: cuts lineage, and survives lost executors.
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows of df, kept as a Parquet table (in folders by a column) in the shared folder: cuts lineage, and survives lost executors.
 
     Tables that a returned frame still reads stay in the folder, whose keeper clears it;
     those that served an operator alone go with discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

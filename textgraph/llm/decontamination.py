@@ -11,12 +11,15 @@ with which a window that holds the item agrees in at least one with a chance of
 whole document, compared word by word, confirms or rejects.
 
 Documents are never shuffled: the items go to them, in blocks of a bounded size
-(BLOCK_ITEMS and BLOCK_BYTES), so any number of items is one pass a block.
+(BLOCK_ITEMS and BLOCK_BYTES), so any number of items is one pass a block; of several blocks
+each is done and dropped before the next one is sent.
 
 Words are runs of ASCII letters (folded to lower case), digits and non-ASCII characters; a
 shingle is five of them, or all of an item that has fewer.  Items without a word match
 nothing, and so do null or empty documents.  Repeated document rows give repeated rows;
-an item that is repeated with the same text counts once.
+an item that is repeated with the same text counts once.  Very long documents are a chunk of
+their own; empty tables of documents or items give no matches; other columns of the documents
+are neither read nor changed, whatever their names.
 """
 
 from __future__ import annotations
@@ -161,14 +164,14 @@ class Index:
         return out
 
 
-def _indexes(items: DataFrame, threshold: float) -> Iterator[Index]:
+def _indexes(items: DataFrame, threshold: float) -> Iterator[tuple[Index, bool]]:
     """Indexes over blocks of at most about BLOCK_ITEMS items or BLOCK_BYTES of text."""
     rows = items.filter(F.col("text").isNotNull()).select("item_id", "text").distinct()
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
-    for b in range(blocks):
+    for b in range(blocks):  # with the number of blocks, the last of which may stay lazy
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        yield Index([r["item_id"] for r in part], [r["text"] for r in part], threshold)
+        yield Index([r["item_id"] for r in part], [r["text"] for r in part], threshold), b == blocks - 1
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -177,7 +180,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("item_id", items.schema["item_id"].dataType), T.StructField("n_common", T.LongType()), T.StructField("n_item", T.LongType())])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     parts = []
-    for index in _indexes(items, threshold):
+    for index, last in _indexes(items, threshold):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -193,14 +196,17 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
                             ["id", "item_id", "n_common", "n_item"],
                         )
 
-        parts.append(texts.mapInArrow(run, schema))
+        found = texts.mapInArrow(run, schema)
+        parts.append(found if last else common.written(found))
+        if not last:
+            shared.destroy()
     return common.union_all(parts)
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that contain an item; columns as before."""
     names = docs.columns
-    for index in _indexes(items, threshold):
+    for index, last in _indexes(items, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -213,6 +219,9 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold:
                 yield batch.filter(pa.array(keep)).select(names)
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = common.written(docs)
+            shared.destroy()
     return docs
 
 

@@ -12,7 +12,9 @@ sketches are alike (1.0).
 The successor of each document in ascending id comes without any global sort: ids are cut
 into even ranges, and each range also receives the first rows of the next one (the last:
 those of the first).  Ids may repeat (rows then follow by a hash of their text) or be null
-(first); a lone row follows itself.
+(first); ids are integers; a lone row follows itself.  Very long texts are one row as any
+other, an empty table gives no rows, and only the id and the text are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ blocks of main text are joined by one space.  Scripts, styles, templates, commen
 head never hold text; a head ends at the first tag that cannot stand in it, and of other hidden
 elements that are never closed (scripts and styles apart) only the tag is skipped.  Null or empty pages give an empty text, broken markup is read as
 browsers mostly do (unclosed paragraphs, stray end tags), repeated pages give equal rows,
-and very long pages are read whole in one pass.
+very long pages are read whole in one pass, an empty table gives no rows, and other columns
+pass through whatever their names (``out`` names the added one).
 """
 
 from __future__ import annotations
@@ -401,7 +402,9 @@ def default_model(n: int = TRAINING_PAGES, seed: int = 11) -> Crf:
 
 
 def extracted(pages: DataFrame, html_col: str = "html", model: Crf | None = None, out: str = "_text") -> DataFrame:
-    """pages with the main text of each page as a further column."""
+    """pages with the main text of each page as a further column, which must not be there yet."""
+    if common.unused(pages.columns, out) != [out]:
+        raise ValueError(f"pages has a column named {out}")
     crf = model or default_model()
     names = pages.columns
     schema = T.StructType([*pages.schema.fields, T.StructField(out, T.StringType())])

@@ -8,7 +8,8 @@ numpy, without any per-word code.
 
 Edge cases: a null or empty text has the features of no bytes and gets a score; very long
 rows are chunks of their own; without positive labels every text scores the smoothed
-prior; labels, lang, source and doc_id are never inputs of a score.
+prior; an empty table gives no scores; other columns pass through, except one named like
+the score, which is replaced; labels, lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ Equality is always of bytes, hashes only bring candidates together.
 
 Edge cases: a null text is empty; texts shorter than LENGTH lose nothing; equal rows follow
 each other in the order of common.with_uid, so the later one is removed; ids may repeat or
-be null; matches never cross rows.
+be null; matches never cross rows; a very long text is a chunk of its own; an empty table
+gives no rows; only the columns uid and t are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -341,7 +342,7 @@ def deduplicated(texts: DataFrame, keep_text: bool = True) -> DataFrame:
     shared = shared_anchors(texts)
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot_from = max(HOT, total // HOT_KEYS + 1)
-    hot = np.array([r["h"] for r in shared.filter(F.col("n") >= hot_from).select("h").distinct().collect()], np.int64).view(_U)
+    hot = shared.filter(F.col("n") >= hot_from).select("h").distinct().toArrow().column("h").to_numpy().view(_U)
     shared_hot = spark.sparkContext.broadcast(np.sort(hot))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
