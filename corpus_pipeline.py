@@ -17,13 +17,15 @@ from textgraph.llm import byte_bpe, common, decontamination, line_dedup, near_de
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at or above its threshold."""
     scorer = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return pu_learning.with_score(docs, "text", scorer, "_score").filter(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    (score,) = common.unused(docs.columns, "_score")
+    return pu_learning.with_score(docs, "text", scorer, score).filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents share."""
-    out = line_dedup.dropped_lines(docs)
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    names = common.unused(docs.columns, "_n_lines", "_n_dropped", "_kept")
+    out = line_dedup.dropped_lines(docs, out=names)
+    new = {"text": F.col(names[2]), "n_chars": F.length(names[2]).cast("long")}
     return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
