@@ -54,7 +54,7 @@ def test_build_answer_and_stream(spark, tmp_path):
     q = spark.createDataFrame([(1, "the then that and this")], "q_id long, q string")
     out = QuestionAnswering(docs, built.edges, TESTDATA).answer_all(q, "combined").first()
     assert out.q_id == 1 and out.answer
-    labels = edges.labels_of(built.vertices, 20)
+    labels = edges.labels_of(built.vertices)
     docs.repartition(2).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     incremental.count_stream(s, labels, TESTDATA, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()

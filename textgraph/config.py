@@ -35,6 +35,19 @@ SEEDS_CYRILLIC = (
 )
 CORE_CONCEPTS_CYRILLIC = ("истина", "ложь", "правда", "обман", "заблуждение")
 
+#: Function words of three letters or more, by kind; a longer list is a parameter (sources.read_terms).
+FUNCTION_WORDS_CYRILLIC = tuple((
+    # conjunctions and particles
+    "что как или если чтобы когда пока хотя либо тоже также ведь вот даже лишь уже еще ещё только именно разве пусть будто словно"
+    # prepositions
+    " для при про под над без через между перед после около против вместо среди кроме ради из-за из-под"
+    # pronouns and demonstratives
+    " она оно они его её нее неё ему ней ним ними них вас вам нас нам мне меня тебя себя свой своя свое своё свои мой твой наш ваш"
+    " этот эта это эти этого этой этом этих тот той тех тем том такой такая такое такие кто который которая которое которые чей весь все всё всех всем"
+    # adverbs of place, time and degree, and auxiliary verbs
+    " где там тут здесь куда туда так очень более менее есть был была было были быть будет будут может можно надо нужно нет"
+).split())
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -52,6 +65,8 @@ class Profile:
     seeds: tuple[str, ...] = ()
     stop_words: tuple[str, ...] = ()
     core_concepts: tuple[str, ...] = ()
+    #: A functions.text.Lexicon; without one, tokens stand for themselves and all words count as content.
+    lexicon: object | None = None
 
     @property
     def contrast_pattern(self) -> str:
@@ -67,7 +82,7 @@ class Profile:
 
 
 CYRILLIC = Profile(
-    "cyrillic", r"[а-яё][а-яё\-]{2,}", CONTRAST_CYRILLIC, PRONOUNS_CYRILLIC, AFFECT_CYRILLIC, SEEDS_CYRILLIC,
+    "cyrillic", r"[а-яё][а-яё\-]{2,}", CONTRAST_CYRILLIC, PRONOUNS_CYRILLIC, AFFECT_CYRILLIC, SEEDS_CYRILLIC, FUNCTION_WORDS_CYRILLIC,
     core_concepts=CORE_CONCEPTS_CYRILLIC,
 )
 #: Any alphabet, with marker words that occur in invented European prose.
@@ -102,5 +117,7 @@ TRUTH_CORPUS = BuildConfig(
     vertex_methods=("docfreq", "yake"), edge_methods=("cooccurrence", "rhetorical", "emotional", "perplexity"), max_vertices=110,
     min_pmi=-10.0, backbone_k=10, stress_threshold=0.5,
 )
-SCIENCE_CITIES = BuildConfig()
+SCIENCE_CITIES = BuildConfig(
+    vertex_methods=("ner", "yake", "tfidf", "textrank", "paraphrase_cluster"), edge_methods=("cooccurrence", "anaphora", "rhetorical", "emotional", "perplexity"),
+)
 TESTDATA = replace(TRUTH_CORPUS, profile=UNICODE, vertex_methods=("docfreq",))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import text
-
 EVAL_TOKEN = r"\p{L}{2,}"
 
 
@@ -14,28 +13,22 @@ def eval_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(EVAL_TOKEN), 0)
 
 
-def rouge_n(hyp: Column, ref: Column, n: int) -> Column:
-    """Clipped overlap of n-grams over the reference's; 0 for an empty reference."""
-    h, r = text.ngrams(hyp, n), text.ngrams(ref, n)
-    count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    overlap = F.aggregate(F.array_distinct(r), F.lit(0), lambda acc, g: acc + F.least(count(r, g), count(h, g)))
-    return F.when(F.size(r) == 0, 0.0).otherwise(overlap / F.size(r))
+def _lcs(a: list, b: list) -> int:
+    """Length of the longest common subsequence, bit-parallel over a."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for x in b:
+        u = v & places.get(x, 0)
+        v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence: one row of the table is carried through an aggregate."""
-    first = F.transform(b, lambda _: F.lit(0))
-
-    def step(row: Column, x: Column) -> Column:
-        # acc: (new row so far, last value, diagonal)
-        start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("left"), F.lit(0).alias("diag"))
-        def cell(acc: Column, j: Column) -> Column:
-            up = F.get(row, j)
-            here = F.when(F.get(b, j) == x, acc["diag"] + 1).otherwise(F.greatest(up, acc["left"]))
-            return F.struct(F.array_append(acc["out"], here).alias("out"), here.alias("left"), up.alias("diag"))
-        return F.aggregate(F.transform(b, lambda _, j: j), start, cell)["out"]
-
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, first, step), -1))
+    """Longest common subsequence of two token arrays: built-in functions would copy a row of the table at every cell."""
+    return F.arrow_udf(lambda x, y: pa.array([_lcs(p or [], q or []) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.int32()), "int")(a, b)
 
 
 def f1(common: Column, n_hyp: Column, n_ref: Column) -> Column:
@@ -104,9 +97,9 @@ def char_wb(c: Column, low: int = 3, high: int = 5) -> Column:
 
 
 def judge_json(c: Column) -> Column:
-    """The last flat JSON object of a reply, without its thinking part and code fences."""
+    """The last valid flat JSON object of a reply, without its thinking part and code fences."""
     t = F.regexp_replace(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""), r"```(json)?", "")
-    found = F.regexp_extract_all(t, F.lit(r"\{[^{}]*\}"), 0)
+    found = F.filter(F.regexp_extract_all(t, F.lit(r"\{[^{}]*\}"), 0), lambda x: F.json_object_keys(x).isNotNull())
     return F.get(found, F.size(found) - 1)
 
 

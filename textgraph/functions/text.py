@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\x0c\r"
-SENTENCE_END = r"(?<=[.!?…])\s+"
+SENTENCE_END = r"(?U)(?<=[.!?…])\s+"
 
 
 def strip(c: Column) -> Column:
@@ -15,11 +17,11 @@ def strip(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """White space collapsed to single spaces."""
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def normalize_label(c: Column) -> Column:
-    return F.regexp_replace(strip(F.lower(c)), r"\s+", " ")
+    return F.regexp_replace(strip(F.lower(c)), r"(?U)\s+", " ")
 
 
 def sentences(c: Column) -> Column:
@@ -33,7 +35,7 @@ def long_pieces(c: Column, least: int = 20) -> Column:
 
 
 def paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\n\s*\n"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"(?U)\n\s*\n"), strip), lambda x: x != "")
 
 
 def windows(units: Column, size: int) -> Column:
@@ -52,6 +54,47 @@ def tokens(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern), 0)
 
 
+class Lexicon:
+    """Lemmas and content words of a language, from dictionary tables.
+
+    ``lemmas`` (token, lemma) goes to the executors as two Arrow arrays, so it must be bounded:
+    a full dictionary of an inflected language has a few million forms.  ``content`` (term,
+    is_content) stays a table, which is joined to counted terms only.
+    """
+
+    #: Most forms of a dictionary; about 100 MB.
+    MAX_FORMS = 5_000_000
+
+    def __init__(self, lemmas: DataFrame | None = None, content: DataFrame | None = None):
+        self.content = content
+        self.lemmatized = None
+        if lemmas is not None:
+            rows = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma")).limit(self.MAX_FORMS + 1).toArrow()
+            if rows.num_rows > self.MAX_FORMS:
+                raise ValueError(f"more than {self.MAX_FORMS} forms")
+            forms, of = rows.column("token").combine_chunks(), rows.column("lemma").combine_chunks()
+            self.lemmatized = lambda c, kind: F.arrow_udf(lambda a: _replaced(a, forms, of), kind)(c)
+
+    def __call__(self, toks: Column, kind: str = "array<string>") -> Column:
+        """An array of tokens (or, by ``kind``, of arrays of them) as lemmas; unknown tokens stay."""
+        return toks if self.lemmatized is None else self.lemmatized(toks, kind)
+
+
+def _replaced(a: pa.Array, forms: pa.Array, of: pa.Array) -> pa.Array:
+    if pa.types.is_list(a.type):
+        a = a.fill_null([]) if a.null_count else a
+        a = pa.ListArray.from_arrays(a.offsets, a.values)  # a slice keeps its offsets, and its values whole
+        return pa.ListArray.from_arrays(a.offsets, _replaced(a.values, forms, of))
+    found = of.take(pc.index_in(a, value_set=forms))
+    return pc.coalesce(found, a)
+
+
+def terms(c: Column, profile) -> Column:
+    """The tokens of a text, as lemmas where the profile has a lexicon."""
+    found = tokens(c, profile.token)
+    return profile.lexicon(found) if profile.lexicon else found
+
+
 def bigrams(toks: Column) -> Column:
     """Neighbouring tokens (after filtering) joined by a space."""
     n = F.size(toks)
@@ -76,6 +119,13 @@ def parse_tags(c: Column) -> Column:
     return F.when(c.isNull() | (strip(c) == "1"), F.array().cast("array<string>")).otherwise(parts)
 
 
+def parse_listed_tags(c: Column) -> Column:
+    """The looser rule: quotes around tags go too, and nan, true or false mean none."""
+    bare = F.lower(strip(c))
+    parts = F.filter(F.transform(F.split(c, ","), lambda x: F.btrim(strip(x), F.lit("'\" []"))), lambda x: x != "")
+    return F.when(c.isNull() | bare.isin("nan", "true", "false", ""), F.array().cast("array<string>")).otherwise(parts)
+
+
 def excel_date(serial: Column) -> Column:
     """Spreadsheet day numbers, with the leap day of 1900 that never was."""
     n = serial.cast("int")

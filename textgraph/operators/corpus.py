@@ -96,3 +96,35 @@ def outcome(docs: DataFrame, reason: Column, least: int = MIN_CHARS) -> DataFram
 def enriched(docs: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """A plug-in for entities or key phrases: ``fn`` maps Arrow batches to batches of the schema."""
     return docs.mapInArrow(fn, schema)
+
+
+def city(blob: Column, cities: list[str]) -> Column:
+    """The first of the cities (in lower case) that a text names, with capitals."""
+    return F.initcap(F.get(tx.hits(F.lower(blob), cities), F.lit(0)))
+
+
+def text_kind(voice: Column) -> Column:
+    """The kind of text that follows from its voice."""
+    return F.when(voice == "interview", "interview").when(voice.isin("official", "speech"), "speech").when(voice == "analytics", "analytics").otherwise("news")
+
+
+def capitalised_entities(text: Column, least: int = 3) -> Column:
+    """An offline stand-in for a tagger: runs of capitalised words within a line, each a struct (text, type)."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\p{{Lu}}[\p{{Ll}}]{{{least - 1},}}(?: \p{{Lu}}\p{{Ll}}{{{least - 1},}})*"), 0)
+    return F.transform(found, lambda e: F.struct(e.alias("text"), F.lit("NAME").alias("type")))
+
+
+def keyphrases(docs: DataFrame, token: str, stop_words: Sequence[str] = (), longest: int = 3, top: int = 20) -> DataFrame:
+    """(doc_id, keywords): the phrases of up to ``longest`` words of each text by frequency times length over
+    the logarithm of their first place; phrases neither begin nor end with a stop word."""
+    t = docs.select("doc_id", tx.tokens(F.col("text"), token).alias("t"))
+    stop = list(stop_words)
+    grams = lambda n: F.transform(tx.ngrams(F.col("t"), n), lambda g, i: F.struct(g.alias("g"), i.alias("at"), F.lit(n).alias("n")))
+    each = t.select("doc_id", F.explode(F.concat(*[grams(n) for n in range(1, longest + 1)])).alias("x")).select("doc_id", "x.*")
+    if stop:
+        each = each.filter(~F.split_part("g", F.lit(" "), F.lit(1)).isin(stop) & ~F.split_part("g", F.lit(" "), F.lit(-1)).isin(stop))
+    counted = each.groupBy("doc_id", "g", "n").agg(F.count(F.lit(1)).alias("f"), F.min("at").alias("at"))
+    score = F.round(F.col("f") * F.col("n") / F.log2(F.col("at") + 4.0), 9)
+    best = counted.withColumn("s", score).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("s"), "g"))).filter(F.col("r") <= top)
+    lists = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", "g"))).alias("l")).select("doc_id", F.transform("l", lambda x: x["g"]).alias("keywords"))
+    return docs.select("doc_id").join(lists, "doc_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))

@@ -20,29 +20,55 @@ from .vertices import pairs_of
 COLUMNS = "src string, dst string, weight long, methods array<string>, relation string, emotional boolean, surprisal double"
 
 
-def labels_of(vertices: DataFrame, most: int) -> list[str]:
-    return [r["label"] for r in vertices.select("label").orderBy("label").limit(most).collect()]
+#: Most labels; they go into the plan.
+MAX_LABELS = 100_000
+
+
+def labels_of(vertices: DataFrame) -> list[str]:
+    """All labels, in order; refused beyond MAX_LABELS rather than cut."""
+    rows = vertices.select("label").distinct().limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    return sorted(r["label"] for r in rows)
 
 
 def _label_array(labels: list[str]) -> Column:
     return F.array(*map(F.lit, labels)) if labels else F.array().cast("array<string>")
 
 
-def unit_labels(unit: Column, profile: Profile, labels: list[str]) -> Column:
-    """The labels in a unit, sorted."""
-    return F.array_sort(F.array_intersect(tx.grams(tx.tokens(unit, profile.token)), _label_array(labels)))
+def _placed(t: Column, labels: list[str]) -> Column:
+    """The labels in an array of tokens, by first place, then label; bigrams are built only if a label has two words."""
+    one, two = [x for x in labels if " " not in x], [x for x in labels if " " in x]
+    if not two:
+        return F.array_intersect(t, _label_array(one))
+    places = lambda xs, some: F.transform(F.array_intersect(xs, _label_array(some)), lambda x: F.struct(F.array_position(xs, x).alias("pos"), x.alias("label")))
+    return F.transform(F.array_sort(F.concat(places(t, one), places(tx.bigrams(t), two))), lambda m: m["label"])
+
+
+def mentions(docs: DataFrame, profile: Profile, labels: list[str], level: str = "sentence", window: int = 3) -> DataFrame:
+    """(doc_id, ms): for each unit with a label, in text order, its marks and its labels by place.
 
+    The one pass over the texts that all edge methods share; ms is as small as what it names.
+    """
+    units = docs.select("doc_id", tx.units(F.col("text"), level, window).alias("us"))
+    toks = F.transform("us", lambda u: tx.tokens(u, profile.token))
+    # tokens and marks are materialised before labels are sought in them
+    marks = F.transform("us", lambda u: F.struct(
+        (u.rlike(profile.contrast_pattern) if profile.contrast else F.lit(False)).alias("contrast"),
+        (F.lower(u).rlike(profile.affect_pattern) if profile.affect else F.lit(False)).alias("affect"),
+        (u.rlike(profile.pronoun_pattern) if profile.pronouns else F.lit(False)).alias("pronoun"),
+    ))
+    base = units.select("doc_id", marks.alias("marks"), (profile.lexicon(toks, "array<array<string>>") if profile.lexicon else toks).alias("ts"))
+    found = base.select("doc_id", F.zip_with("marks", F.transform("ts", lambda t: _placed(t, labels)), lambda m, ls: F.struct(m["contrast"].alias("contrast"), m["affect"].alias("affect"), m["pronoun"].alias("pronoun"), ls.alias("ls"))).alias("ms"))
+    return found.select("doc_id", F.filter("ms", lambda m: F.size(m["ls"]) > 0).alias("ms")).filter(F.size("ms") > 0)
 
-def _doc_pairs(docs: DataFrame, profile: Profile, labels: list[str], level: str, window: int, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+
+def _pairs(found: DataFrame, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """(src, dst, n): in how many documents the pair shares a unit (that ``keep`` accepts)."""
-    units = tx.units(F.col("text"), level, window)
-    if keep is not None:
-        units = F.filter(units, keep)
-    # the token array of each unit is materialised before grams refer to it several times
-    toks = docs.select("doc_id", F.transform(units, lambda u: tx.tokens(u, profile.token)).alias("ts"))
-    sets = toks.select(F.transform("ts", lambda t: F.array_sort(F.array_intersect(tx.grams(t), _label_array(labels)))).alias("ls"))
+    units = F.filter("ms", (lambda m: (F.size(m["ls"]) > 1) & keep(m)) if keep else (lambda m: F.size(m["ls"]) > 1))
+    sets = found.select(F.transform(units, lambda m: F.array_sort(m["ls"])).alias("ls"))
     pair = lambda ls: F.flatten(F.transform(ls, lambda x, i: F.transform(F.slice(ls, i + 2, F.greatest(F.size(ls) - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    flat = sets.select(F.explode(F.array_distinct(F.flatten(F.transform(F.filter("ls", lambda x: F.size(x) > 1), pair)))).alias("p"))
+    flat = sets.select(F.explode(F.array_distinct(F.flatten(F.transform("ls", pair)))).alias("p"))
     return flat.groupBy(F.col("p.a").alias("src"), F.col("p.b").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -53,46 +79,44 @@ def _typed(pairs: DataFrame, method: str, factor: int = 1, relation: str | None
     )
 
 
-def cooccurrence(docs: DataFrame, profile: Profile, labels: list[str], level: str = "sentence", window: int = 3) -> DataFrame:
-    return _typed(_doc_pairs(docs, profile, labels, level, window), "cooccurrence")
+def cooccurrence(docs: DataFrame, profile: Profile, labels: list[str], level: str = "sentence", window: int = 3, found: DataFrame | None = None) -> DataFrame:
+    return _typed(_pairs(mentions(docs, profile, labels, level, window) if found is None else found), "cooccurrence")
 
 
-def rhetorical(docs: DataFrame, profile: Profile, labels: list[str]) -> DataFrame:
+def rhetorical(docs: DataFrame, profile: Profile, labels: list[str], found: DataFrame | None = None) -> DataFrame:
     """Pairs in sentences with a contrast marker, two points a document."""
-    return _typed(_doc_pairs(docs, profile, labels, "sentence", 1, lambda s: s.rlike(profile.contrast_pattern)), "rhetorical", 2, relation="contrast")
-
+    return _typed(_pairs(mentions(docs, profile, labels) if found is None else found, lambda m: m["contrast"]), "rhetorical", 2, relation="contrast")
 
-def emotional(docs: DataFrame, profile: Profile, labels: list[str]) -> DataFrame:
-    return _typed(_doc_pairs(docs, profile, labels, "sentence", 1, lambda s: F.lower(s).rlike(profile.affect_pattern)), "emotional", emotional=True)
 
+def emotional(docs: DataFrame, profile: Profile, labels: list[str], found: DataFrame | None = None) -> DataFrame:
+    return _typed(_pairs(mentions(docs, profile, labels) if found is None else found, lambda m: m["affect"]), "emotional", emotional=True)
 
-def mentions(docs: DataFrame, profile: Profile, labels: list[str]) -> DataFrame:
-    """(doc_id, unit_idx, label, pos, pronoun): first place of each label in each sentence."""
-    units = docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("unit_idx", "unit"))
-    toks = units.select("doc_id", "unit_idx", F.col("unit").rlike(profile.pronoun_pattern).alias("pronoun"), tx.tokens(F.col("unit"), profile.token).alias("t"))
-    found = toks.select("doc_id", "unit_idx", "pronoun", "t", tx.bigrams(F.col("t")).alias("b"))
-    place = lambda x: F.when(F.array_contains("t", x), F.array_position("t", x)).otherwise(F.array_position("b", x))
-    hit = F.filter(_label_array(labels), lambda x: F.array_contains("t", x) | F.array_contains("b", x))
-    return found.select("doc_id", "unit_idx", "pronoun", F.explode(F.transform(hit, lambda x: F.struct(x.alias("label"), place(x).alias("pos")))).alias("m")).select("doc_id", "unit_idx", "pronoun", "m.label", "m.pos")
 
+def anaphora(docs: DataFrame, profile: Profile, labels: list[str], found: DataFrame | None = None) -> DataFrame:
+    """Labels of a sentence with a pronoun, linked to each of the last three mentions before it; one point an event.
 
-def anaphora(docs: DataFrame, profile: Profile, labels: list[str]) -> DataFrame:
-    """Labels of a sentence with a pronoun, linked to each of the last three mentions before it; one point an event."""
-    w = Window.partitionBy("doc_id").orderBy("unit_idx", "pos", "label")
-    m = mentions(docs, profile, labels).withColumn("rn", F.row_number().over(w))
-    m = m.withColumn("first", F.min("rn").over(Window.partitionBy("doc_id", "unit_idx")))
-    recent = F.collect_list(F.struct("rn", "label")).over(w.rowsBetween(-(len(labels) + 3), -1))
-    m = m.withColumn("recent", F.when(F.col("pronoun"), F.filter(recent, lambda r: (r["rn"] >= F.col("first") - 3) & (r["rn"] < F.col("first")))))
-    e = m.select("label", F.explode("recent").alias("r")).filter(F.col("label") != F.col("r.label"))
-    pairs = e.groupBy(F.least("label", "r.label").alias("src"), F.greatest("label", "r.label").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    return _typed(pairs, "anaphora")
+    Mentions of a document are numbered inside its row, so nothing is shuffled but pairs.
+    """
+    m = (mentions(docs, profile, labels) if found is None else found).filter(F.exists("ms", lambda x: x["pronoun"]))
+    # how many mentions lie before each unit
+    before = F.aggregate("ms", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.size(x["ls"])))
+    m = m.select("ms", before.alias("before"), F.flatten(F.transform("ms", lambda x: x["ls"])).alias("every"))
+    hit = F.filter(F.zip_with("ms", "before", lambda x, n: F.struct(x["pronoun"].alias("pronoun"), x["ls"].alias("ls"), n.alias("n"))), lambda x: x["pronoun"] & (x["n"] > 0))
+    recent = lambda n: F.slice(F.col("every"), F.greatest(n - 2, F.lit(1)), F.least(n, F.lit(3)))
+    events = F.flatten(F.transform(hit, lambda x: F.flatten(F.transform(recent(x["n"]), lambda r: F.transform(x["ls"], lambda e: F.struct(F.least(r, e).alias("a"), F.greatest(r, e).alias("b")))))))
+    e = m.select(F.explode(F.filter(events, lambda p: p["a"] != p["b"])).alias("p"))
+    return _typed(e.groupBy(F.col("p.a").alias("src"), F.col("p.b").alias("dst")).agg(F.count(F.lit(1)).alias("n")), "anaphora")
 
 
 def surprisal(docs: DataFrame, profile: Profile, edges: DataFrame) -> DataFrame:
     """(src, dst, surprisal): mean over token pairs of -log2 of a smoothed bigram estimate, in the direction src to dst."""
-    toks = docs.select(tx.tokens(F.col("text"), profile.token).alias("t"))
-    uni = toks.select(F.explode("t").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("nu"))
-    bi = toks.select(F.explode(tx.bigrams(F.col("t"))).alias("ab")).groupBy("ab").agg(F.count(F.lit(1)).alias("nb"))
+    from . import graph
+
+    toks = docs.select(tx.terms(F.col("text"), profile).alias("t"))
+    # tokens and bigrams are counted in one pass (only bigrams hold a space), which all below reads
+    counts = toks.select(F.explode(tx.grams(F.col("t"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).persist()
+    two = F.contains("g", F.lit(" "))
+    uni, bi = counts.filter(~two).select(F.col("g").alias("a"), F.col("n").alias("nu")), counts.filter(two).select(F.col("g").alias("ab"), F.col("n").alias("nb"))
     size = lambda df, c: df.agg(F.coalesce(F.nullif(F.sum(c) + F.count(F.lit(1)), F.lit(0)), F.lit(1)).cast("double").alias("t" + c))
     each = edges.select("src", "dst", F.explode(F.split("src", " ")).alias("a"), F.split("dst", " ").alias("bs")).select("src", "dst", "a", F.explode("bs").alias("b"))
     each = each.withColumn("ab", F.concat_ws(" ", "a", "b"))
@@ -101,7 +125,9 @@ def surprisal(docs: DataFrame, profile: Profile, edges: DataFrame) -> DataFrame:
     p_bi = (F.coalesce("nb", F.lit(0)) + 1) / F.col("tnb")
     p_uni = 0.01 * (F.coalesce("nu", F.lit(0)) + 1) / F.col("tnu")
     s = -F.log2(F.greatest(p_bi, p_uni, F.lit(1e-9)))
-    return j.groupBy("src", "dst").agg(F.round(F.avg(s), 4).alias("surprisal"))
+    out = graph.pinned(j.groupBy("src", "dst").agg(F.round(F.avg(s), 4).alias("surprisal")))  # as many rows as edges
+    counts.unpersist()
+    return out
 
 
 def merge(parts: list[DataFrame]) -> DataFrame:
@@ -112,25 +138,35 @@ def merge(parts: list[DataFrame]) -> DataFrame:
     )
 
 
+#: The edge methods by name: (docs, config, labels, mentions by sentence) to typed edges.
+MAKERS: dict[str, Callable[[DataFrame, BuildConfig, list[str], DataFrame], DataFrame]] = {
+    "cooccurrence": lambda d, c, ls, found: cooccurrence(d, c.profile, ls, c.level, c.window, found if c.level == "sentence" else None),
+    "rhetorical": lambda d, c, ls, found: rhetorical(d, c.profile, ls, found),
+    "emotional": lambda d, c, ls, found: emotional(d, c.profile, ls, found),
+    "anaphora": lambda d, c, ls, found: anaphora(d, c.profile, ls, found),
+}
+
+
 def build(docs: DataFrame, labels: list[str], config: BuildConfig) -> DataFrame:
-    p = config.profile
-    makers: dict[str, Callable[[], DataFrame]] = {
-        "cooccurrence": lambda: cooccurrence(docs, p, labels, config.level, config.window),
-        "rhetorical": lambda: rhetorical(docs, p, labels),
-        "emotional": lambda: emotional(docs, p, labels),
-        "anaphora": lambda: anaphora(docs, p, labels),
-    }
-    # at most max_vertices**2 rows, which surprisal and pruning read several times
+    """All configured edge methods over one table of mentions; surprisal is put on what they found."""
     from . import graph
 
-    edges = graph.pinned(merge([makers[m]() for m in config.edge_methods if m in makers]))
+    found = mentions(docs, config.profile, labels).persist()
+    # at most max_vertices**2 rows, which surprisal and pruning read several times
+    edges = graph.pinned(merge([MAKERS[m](docs, config, labels, found) for m in config.edge_methods if m in MAKERS]))
+    found.unpersist()
     if "perplexity" in config.edge_methods:
-        s = surprisal(docs, p, edges)
+        s = surprisal(docs, config.profile, edges)
         edges = edges.drop("surprisal").join(s, ["src", "dst"], "left").withColumn("methods", F.array_append("methods", F.lit("perplexity")))
         edges = edges.select("src", "dst", "weight", "methods", "relation", "emotional", "surprisal")
     return edges
 
 
+def by_method(edges: DataFrame, method: str) -> DataFrame:
+    """The edges that a method has found."""
+    return edges.filter(F.array_contains("methods", method))
+
+
 def baseline(docs: DataFrame, profile: Profile, column: str = "entities", min_weight: int = 2, min_pmi: float = 1.0, top: int = 20, max_features: int = 300) -> DataFrame:
     """Document-level pairs of entities or, where no document has any, of each document's top TF-IDF terms."""
     from . import graph, vertices

@@ -6,17 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as mx
+from ..functions import text as tx
 
 
-def scored(pairs: DataFrame, hyp: str = "answer", ref: str = "reference") -> DataFrame:
-    """ROUGE-1, -2 and -L, type-token ratio, coverage and both length scores of each pair."""
+def rouge_n(pairs: DataFrame, key: list[str], n: int, hyp: str = "answer", ref: str = "reference") -> DataFrame:
+    """(key, rouge<n>): clipped overlap of n-grams over the reference's, from counts by gram; 0 for an empty reference."""
+    side = lambda c, i: pairs.select(*key, F.lit(i).alias("side"), F.explode(tx.ngrams(mx.eval_tokens(F.col(c)), n)).alias("g"))
+    tf = side(hyp, 0).unionByName(side(ref, 1)).groupBy(*key, "g").agg(F.count_if(F.col("side") == 0).alias("h"), F.count_if(F.col("side") == 1).alias("r"))
+    s = tf.groupBy(*key).agg((F.sum(F.least("h", "r")) / F.nullif(F.sum("r"), F.lit(0))).alias(f"rouge{n}"))
+    return pairs.select(*key).join(s, key, "left").withColumn(f"rouge{n}", F.coalesce(f"rouge{n}", F.lit(0.0)))
+
+
+def scored(pairs: DataFrame, key: list[str], hyp: str = "answer", ref: str = "reference") -> DataFrame:
+    """ROUGE-1, -2 and -L, type-token ratio, coverage and both length scores of each pair; ``key`` names a pair."""
     t = pairs.withColumn("_h", mx.eval_tokens(F.col(hyp))).withColumn("_r", mx.eval_tokens(F.col(ref)))
     h, r = F.col("_h"), F.col("_r")
     t = t.withColumn("_l", mx.lcs_length(h, r))
-    return t.withColumns({
-        "rouge1": mx.rouge_n(h, r, 1), "rouge2": mx.rouge_n(h, r, 2), "rouge_l": mx.f1(F.col("_l"), F.size(h), F.size(r)), "ttr": mx.ttr(h),
+    t = t.withColumns({
+        "rouge_l": mx.f1(F.col("_l"), F.size(h), F.size(r)), "ttr": mx.ttr(h),
         "coverage": mx.coverage(r, h), "length_v1": mx.length_v1(F.size(h)), "length_v2": mx.length_v2(F.size(h)),
     }).drop("_h", "_r", "_l")
+    for n in (1, 2):
+        t = t.join(rouge_n(pairs, key, n, hyp, ref), key)
+    return t
 
 
 def semantic(pairs: DataFrame, key: list[str], a: str = "answer", b: str = "reference") -> DataFrame:
@@ -51,11 +63,19 @@ def question_matrix(scores: DataFrame, value: str) -> DataFrame:
     return scores.groupBy("q_id").pivot("method").agg(F.first(value))
 
 
-def budget_eval(contexts: DataFrame, gold: DataFrame, budgets: tuple[int, ...] = (800, 1500, 3000, 6000, 12000)) -> DataFrame:
-    """Mean key-point recall of contexts (method, q_id, context) cut to each budget, against gold (q_id, keypoints)."""
-    cut = contexts.join(gold, "q_id").withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
-    hit = cut.withColumn("recall", mx.keypoint_coverage(F.col("keypoints"), F.left("context", F.col("budget"))))
-    return hit.groupBy("method", "budget").agg(F.avg("recall").alias("recall"))
+def budget_eval(contexts: DataFrame, gold: DataFrame, budgets: tuple[int, ...] = (800, 1500, 3000, 6000, 12000), reference: str | None = None) -> DataFrame:
+    """Mean key-point recall of contexts (method, q_id, context) cut to each budget, against gold (q_id, keypoints).
+
+    With ``reference``, a column of gold, also the mean cosine of the cut context to it.
+    """
+    cut = contexts.join(gold, "q_id").withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).withColumn("_c", F.left("context", F.col("budget")))
+    hit = cut.withColumn("recall", mx.keypoint_coverage(F.col("keypoints"), F.col("_c")))
+    out = [F.avg("recall").alias("recall")]
+    if reference is not None:
+        key = ["method", "q_id", "budget"]
+        hit = hit.join(semantic(cut, key, "_c", reference), key)
+        out.append(F.avg("semantic").alias("semantic"))
+    return hit.groupBy("method", "budget").agg(*out)
 
 
 def judged(replies: DataFrame, reply: str = "reply", criteria: tuple[str, ...] = ("faithfulness", "relevance", "completeness", "clarity")) -> DataFrame:
@@ -68,6 +88,6 @@ def judged(replies: DataFrame, reply: str = "reply", criteria: tuple[str, ...] =
 
 
 def blinded(answers: DataFrame, seed: int = 42) -> DataFrame:
-    """Letters A, B, C ... in an order that a hash of the seed fixes for each question."""
-    n = F.row_number().over(Window.partitionBy("q_id").orderBy(F.xxhash64(F.lit(seed), "q_id", "method")))
+    """Letters A, B, C ... in an order that a digest of the seed fixes for each question."""
+    n = F.row_number().over(Window.partitionBy("q_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("q_id").cast("string"), "method").cast("binary"))))
     return answers.withColumn("letter", F.chr(F.lit(64) + n))

@@ -65,12 +65,13 @@ def threshold_curve(edges: DataFrame) -> DataFrame:
     return t.join(F.broadcast(h), h["weight"] >= t["threshold"], "left").groupBy("threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_edges"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, component): the least label reachable; each round also jumps to the root's root."""
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least label reachable; rounds of neighbours' roots and of the root's root go on until nothing changes."""
     both = ends(edges).select("id", "nbr").persist()
     root = both.groupBy("id").agg(F.least(F.min("id"), F.min("nbr")).alias("component"))
     sc = edges.sparkSession.sparkContext
-    for _ in range(rounds):
+    held: list[DataFrame] = []
+    while True:
         near = both.join(root.select(F.col("id").alias("nbr"), "component"), "nbr").groupBy("id").agg(F.min("component").alias("c"))
         new = root.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "c").alias("component"))
         up = root.select(F.col("id").alias("component"), F.col("component").alias("c2"))
@@ -78,9 +79,29 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         new = new.checkpoint() if sc.getCheckpointDir() else new.persist()
         changed = not new.filter(F.col("old") != F.col("component")).isEmpty()
         root = new.select("id", "component")
+        held.append(new)
+        for spent in held[:-2]:
+            spent.unpersist()
         if not changed:
-            break
-    return root
+            return root
+
+
+def n_components(edges: DataFrame, most: int = MAX_LOCAL_EDGES) -> DataFrame:
+    """One row, ``components``: by union-find on the driver for a bounded graph, else by components()."""
+    rows = edges.select("src", "dst").limit(most + 1).collect()
+    if len(rows) > most:
+        return components(edges).agg(F.count_distinct("component").alias("components"))
+    above: dict = {}
+
+    def find(x):
+        above.setdefault(x, x)
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for r in rows:
+        above[find(r["src"])] = find(r["dst"])
+    return edges.sparkSession.createDataFrame([(sum(find(x) == x for x in list(above)),)], "components long")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -104,13 +125,14 @@ def metrics(edges: DataFrame) -> DataFrame:
         aggs.append(F.median("pmi").alias("pmi_median"))
     e = edges.agg(*aggs)
     n, m = F.col("nodes"), F.col("edges")
+    d = d.crossJoin(F.broadcast(n_components(edges)))
     return d.crossJoin(F.broadcast(e)).withColumn("density", F.when(n > 1, 2 * m / (n * (n - 1))).otherwise(0.0)).withColumn("edges_per_node", F.round(2 * m / n, 2))
 
 
 def compared(graphs: dict[str, DataFrame]) -> DataFrame:
     from functools import reduce
 
-    return reduce(DataFrame.unionByName, [metrics(g).select(F.lit(k).alias("graph"), "nodes", "edges") for k, g in graphs.items()])
+    return reduce(DataFrame.unionByName, [degrees(g).agg(F.count(F.lit(1)).alias("nodes"), (F.coalesce(F.sum("degree"), F.lit(0)) / 2).cast("long").alias("edges")).select(F.lit(k).alias("graph"), "nodes", "edges") for k, g in graphs.items()])
 
 
 def pinned(df: DataFrame, most: int = MAX_LOCAL_EDGES) -> DataFrame:

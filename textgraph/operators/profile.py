@@ -53,3 +53,44 @@ def checks(rules: list[tuple[str, DataFrame, Column, Column]]) -> DataFrame:
 
 def passed(found: DataFrame) -> DataFrame:
     return found.agg(F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("total"), F.bool_and("ok").alias("all_ok"))
+
+
+def corpus_rules(docs: DataFrame, title: Column, words: list[str], size: tuple[int, int], length: tuple[int, int], least_titles: int, least_entities: int, least_names: int, least_keywords: int) -> list[tuple[str, DataFrame, Column, Column]]:
+    """Rules of a corpus with ``entities`` and ``keywords``: its size, lengths, titles, and the domain words among its commonest names and keywords."""
+    has_word = lambda c: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(c), w))
+    stats = corpus_stats(docs)
+    one = docs.agg(F.count_if(has_word(title)).alias("titles"), F.median(F.size("entities")).alias("names"))
+    top = lambda items, n: top_items(docs, F.transform(items, lambda x: F.lower(x)), n).agg(F.count_if(has_word(F.col("item"))).alias("n"))
+    names, kws = top(F.col("entities.text"), 20), top(F.col("keywords"), 50)
+    return [
+        ("corpus_size", stats, F.col("n_docs").between(*size), F.col("n_docs")),
+        ("median_text_len", stats, F.col("median_chars").between(*length), F.round("median_chars").cast("bigint")),
+        ("title_relevance", one, F.col("titles") >= least_titles, F.col("titles")),
+        ("ner_present", one, F.col("names") >= least_entities, F.round("names").cast("bigint")),
+        ("top_ner_domain", names, F.col("n") >= least_names, F.col("n")),
+        ("keywords_domain", kws, F.col("n") >= least_keywords, F.col("n")),
+    ]
+
+
+def share_rules(docs: DataFrame, authors: str, tags: Column, date: str, summary: str, words: list[str], least_authors: int = 5, least_tags: int = 2, least_years: int = 2, least_share: float = 0.8) -> list[tuple[str, DataFrame, Column, Column]]:
+    """Rules of a corpus of articles: its authors, the domain words among its tags, the years it spans, and how many have a summary."""
+    tag = docs.select(F.explode(tags).alias("tag")).distinct()
+    has_word = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("tag"), w))
+    year = F.year(F.expr(f"try_to_timestamp(cast({date} as string))"))
+    one = docs.agg(F.count_distinct(authors).alias("a"), F.coalesce(F.max(year) - F.min(year), F.lit(0)).alias("y"), F.count(summary).alias("s"), F.count(F.lit(1)).alias("n"))
+    return [
+        ("author_diversity", one, F.col("a") >= least_authors, F.col("a")),
+        ("tags_domain", tag.agg(F.count_if(has_word).alias("n")), F.col("n") >= least_tags, F.col("n")),
+        ("temporal_span", one, F.col("y") >= least_years, F.col("y")),
+        ("summaries_present", one, F.col("s") >= F.col("n") * least_share, F.col("s")),
+    ]
+
+
+def graph_rules(graphs: dict[str, DataFrame], most_per_node: float = 6, least_edges: int = 100, least_pmi: dict[str, float] | None = None) -> list[tuple[str, DataFrame, Column, Column]]:
+    """Rules of each graph, given by its metrics row: not dense, has edges, and (where stated) a median PMI."""
+    out = []
+    for name, g in graphs.items():
+        out += [(f"{name}_not_dense", g, F.col("edges_per_node") <= most_per_node, F.col("edges_per_node")), (f"{name}_has_edges", g, F.col("edges") >= least_edges, F.col("edges"))]
+        if least_pmi and name in least_pmi:
+            out.append((f"{name}_pmi", g, F.coalesce("pmi_median", F.lit(0.0)) >= least_pmi[name], F.round("pmi_median", 4)))
+    return out

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,10 +117,34 @@ def community_scores(index: DataFrame, questions: DataFrame, top_k: int = 3) ->
     return _rank(base.join(n, ["q_id", "community"], "left").withColumn("score", F.coalesce("score", F.lit(0))), [F.desc("score"), F.col("community")], top_k)
 
 
-def community_context(edges: DataFrame, labels: DataFrame, questions: DataFrame, top_k: int = 3) -> DataFrame:
+def community_context(edges: DataFrame, labels: DataFrame, questions: DataFrame, top_k: int = 3, summarise=None, nodes: int = 15, links: int = 10) -> DataFrame:
+    """The best communities of each question: summary, first members, and inner edges with their types.
+
+    ``summarise`` is a plug-in (list of members) -> summary, which takes the place of the stub; it
+    runs once for each community.
+    """
+    from .graph import degrees
+
     index = community_index(edges, labels)
-    best = community_scores(index, questions, top_k).join(index, "community")
-    return best.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "summary"))).alias("l")).select("q_id", F.array_join(F.transform("l", lambda r: r["summary"]), "\n").alias("context"))
+    lab = labels.select("id", "community")
+    by_degree = F.array_sort(F.collect_list(F.struct((-F.col("weighted")).alias("w"), F.col("id").alias("id"))))
+    members = degrees(edges).join(lab, "id").groupBy("community").agg(by_degree.alias("m")).withColumn("m", F.transform("m", lambda x: x["id"]))
+    inner = edges.join(lab.withColumnsRenamed({"id": "src", "community": "cs"}), "src").join(lab.withColumnsRenamed({"id": "dst", "community": "cd"}), "dst").filter("cs = cd")
+    kind = F.when(F.col("relation").isNotNull(), F.concat(F.lit(" ["), "relation", F.lit("]"))).otherwise("")
+    text = F.concat(F.lit('"'), "src", F.lit('" - "'), "dst", F.lit('"'), kind, F.lit(" ("), F.array_join("methods", ","), F.lit(")"))
+    n = F.row_number().over(Window.partitionBy("cs").orderBy(F.desc("weight"), "src", "dst"))
+    tied = inner.select(F.col("cs").alias("community"), text.alias("t"), n.alias("n"))
+    tied = tied.groupBy("community").agg(F.count(F.lit(1)).alias("n_links"), F.array_sort(F.collect_list(F.when(F.col("n") <= links, F.struct("n", "t")))).alias("l"))
+    known = index.join(members, "community").join(tied, "community", "left")
+    if summarise is not None:
+        rows = known.select("community", "m").collect()  # communities of a pruned graph, which is bounded
+        own = edges.sparkSession.createDataFrame([(r["community"], summarise(r["m"])) for r in rows], f"community {dict(labels.dtypes)['community']}, own string")
+        known = known.join(own, "community").withColumn("summary", F.coalesce("own", "summary"))
+        index = known.select("community", "summary")
+    part = F.concat_ws("\n", F.concat(F.lit("### "), F.col("community").cast("string"), F.lit(" ("), F.size("m").cast("string"), F.lit(")")), "summary", F.array_join(F.slice("m", 1, nodes), ", "),
+                       F.concat(F.col("n_links").cast("string"), F.lit(": "), F.array_join(F.transform("l", lambda x: x["t"]), "; ")))
+    best = community_scores(index, questions, top_k).join(known.select("community", part.alias("part")), "community")
+    return best.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "part"))).alias("l")).select("q_id", F.array_join(F.transform("l", lambda r: r["part"]), "\n\n").alias("context"))
 
 
 def combined_context(local: DataFrame, broad: DataFrame) -> DataFrame:
@@ -149,3 +177,40 @@ def answered(contexts: DataFrame, client, template: str = "{context}\n\n{questio
             yield pa.RecordBatch.from_arrays([b.column("q_id"), pa.array(answers, pa.string())], ["q_id", "answer"])
 
     return contexts.select("q_id", "q", "context").mapInArrow(run, f"q_id {contexts.schema['q_id'].dataType.simpleString()}, answer string")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+    """(q_id, id, rank): of all rows (id, e), the k of largest dot product, to nine places, with each query (q_id, e); ties by id.
+
+    Queries travel in blocks of a set number with the code of their tasks; a task keeps k rows
+    a query, so a block shuffles k rows a query and task, whatever the table's size.
+    """
+    spark = rows.sparkSession
+    n = queries.count()
+    parts = []
+    for b in range(max(1, -(-n // block))):
+        own = queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(-(-n // block))) == b) if n > block else queries
+        found = own.select("q_id", "e").toArrow()
+        ids = found.column("q_id").to_numpy()
+        if not len(ids):
+            continue
+        q = np.array(found.column("e").to_pylist(), float)
+
+        def run(batches, ids=ids, q=q):
+            best_s, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    e = np.array(part.column("e").to_pylist(), float)
+                    s = np.hstack([best_s, np.round(q @ e.T, 9)])
+                    i = np.hstack([best_i, np.broadcast_to(part.column("id").to_numpy(), (len(ids), len(e)))])
+                    order = np.lexsort((i, -s), axis=1)[:, :k]
+                    best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            if best_s.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["q_id", "id", "s"])
+
+        near = rows.select("id", "e").mapInArrow(run, f"q_id {dict(queries.dtypes)['q_id']}, id long, s double")
+        parts.append(_rank(near, [F.desc("s"), F.col("id")], k).select("q_id", "id", "rank"))
+    if not parts:
+        return spark.createDataFrame([], f"q_id {dict(queries.dtypes)['q_id']}, id long, rank int")
+    return reduce(DataFrame.unionByName, parts)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +27,13 @@ def _share_of_max(df: DataFrame, count: str) -> DataFrame:
     return df.crossJoin(F.broadcast(most)).withColumn("score", F.col(count) / F.col("_m")).drop("_m")
 
 
-def doc_terms(docs: DataFrame, profile: Profile, lemmas: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, tf): tokens as lemmas where a dictionary (token, lemma) is given."""
-    flat = docs.select("doc_id", F.explode(tx.tokens(F.col("text"), profile.token)).alias("token"))
-    if lemmas is not None:
-        flat = flat.join(lemmas, "token", "left").withColumn("token", F.coalesce("lemma", "token"))
-    return flat.groupBy("doc_id", F.col("token").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
-
-
-def docfreq(docs: DataFrame, profile: Profile, top_k: int = 120, min_df: int = 3, content: DataFrame | None = None) -> DataFrame:
+def docfreq(docs: DataFrame, profile: Profile, top_k: int = 120, min_df: int = 3) -> DataFrame:
     """Terms by the number of documents they are in; seed terms always, from two documents on.
 
-    ``content`` (term, is_content) is an optional dictionary; unknown terms count as content.
+    Terms that the profile's lexicon does not know as content words go; unknown ones stay.
     """
-    toks = F.array_distinct(tx.tokens(F.col("text"), profile.token))
+    content = profile.lexicon.content if profile.lexicon else None
+    toks = F.array_distinct(tx.terms(F.col("text"), profile))
     df = docs.select(F.explode(toks).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("df"))
     is_seed = F.col("label").isin(list(profile.seeds))
     ok = (F.length("label") >= 3) & ~F.col("label").isin(list(profile.stop_words))
@@ -74,7 +68,7 @@ def tfidf_weights(docs: DataFrame, profile: Profile, max_features: int | None =
 
     The corpus is tokenised once; max_features keeps the terms with the largest total counts.
     """
-    toks = F.filter(tx.tokens(F.col("text"), profile.token), lambda t: ~t.isin(list(profile.stop_words)))
+    toks = F.filter(tx.terms(F.col("text"), profile), lambda t: ~t.isin(list(profile.stop_words)))
     base = docs.select("doc_id", toks.alias("t")).select("doc_id", F.explode(tx.grams(F.col("t"))).alias("term"))
     tf = base.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
@@ -93,11 +87,56 @@ def tfidf(docs: DataFrame, profile: Profile, top_k: int = 150, min_df: int = 3)
     return _as_vertices(_share_of_max(s.orderBy(F.desc("s"), "label").limit(top_k), "s"), "tfidf")
 
 
+#: Tokens that the pairs are counted over at once.
+CHUNK_TOKENS = 200_000
+
+
+def _window_sums(size: int):
+    """Pairs of distinct terms in windows, summed up over chunks of whole documents: (a, b, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("t")
+            offsets = lists.offsets.to_numpy()
+            first = 0
+            while first < len(lists):
+                last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_TOKENS, "right")) - 1)
+                last = min(last, len(lists))
+                flat = lists.values.slice(offsets[first], offsets[last] - offsets[first]).dictionary_encode()
+                code, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+                ends = np.repeat(offsets[first + 1 : last + 1], np.diff(offsets[first : last + 1])) - offsets[first]
+                first = last
+                if not len(code):
+                    continue
+                at = np.arange(len(code))
+                rows = np.full((len(code), size), -1, np.int64)
+                for d in range(size):
+                    inside = at + d < ends
+                    rows[inside, d] = code[at[inside] + d]
+                rows = np.sort(rows, axis=1)
+                again = np.zeros_like(rows, bool)
+                again[:, 1:] = rows[:, 1:] == rows[:, :-1]
+                rows[again] = -1  # each term once a window
+                keys = []
+                for i in range(size):
+                    for j in range(i + 1, size):
+                        ok = (rows[:, i] >= 0) & (rows[:, j] >= 0)
+                        keys.append(rows[ok, i] * len(names) + rows[ok, j])
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(key // len(names))), names.take(pa.array(key % len(names))), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+    return run
+
+
 def window_pairs(docs: DataFrame, profile: Profile, size: int = 4) -> DataFrame:
-    """(a, b, weight): pairs of distinct terms in windows of ``size`` tokens that start at every token."""
-    toks = F.filter(tx.tokens(F.col("text"), profile.token), lambda t: ~t.isin(list(profile.stop_words)))
-    w = docs.select(toks.alias("t")).filter(F.size("t") >= 2).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.array_sort(F.array_distinct(F.slice("t", i, size))))).alias("w"))
-    return pairs_of(w, "w").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    """(a, b, weight): pairs of distinct terms in windows of ``size`` tokens that start at every token.
+
+    Windows are gone over in Arrow batches and summed up there: one row a pair and batch is
+    shuffled, where exploding them would make six a token.
+    """
+    toks = F.filter(tx.terms(F.col("text"), profile), lambda t: ~t.isin(list(profile.stop_words)))
+    sums = docs.select(toks.alias("t")).filter(F.size("t") >= 2).mapInArrow(_window_sums(size), "a string, b string, n long")
+    return sums.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("weight"))
 
 
 def pairs_of(df: DataFrame, labels: str, keep: list[str] | None = None) -> DataFrame:
@@ -107,22 +146,32 @@ def pairs_of(df: DataFrame, labels: str, keep: list[str] | None = None) -> DataF
     return df.select(*(keep or []), F.explode(pairs).alias("p")).select(*(keep or []), "p.a", "p.b")
 
 
-def pagerank(pairs: DataFrame, rounds: int = 30, alpha: float = 0.85, checkpoint_every: int = 5) -> DataFrame:
-    """Weighted PageRank of undirected pairs (a, b, weight): (label, rank), after a fixed number of rounds."""
+def pagerank(pairs: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance: float = 1e-6, checkpoint_every: int = 5) -> DataFrame:
+    """Weighted PageRank of undirected pairs (a, b, weight): (label, rank).
+
+    Ends when the ranks' changes add up to less than ``tolerance`` a node, or after ``rounds``.
+    """
     both = pairs.select("a", "b", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     out = both.groupBy("a").agg(F.sum("weight").alias("total"))
     links = both.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("p")).persist()
-    n = out.count()
-    rank = out.select(F.col("a").alias("label"), F.lit(1.0 / max(n, 1)).alias("rank"))
+    n = max(links.select("a").distinct().count(), 1)
+    rank = links.select(F.col("a").alias("label")).distinct().withColumn("rank", F.lit(1.0 / n))
+    held = None
     for i in range(rounds):
         flow = links.join(rank, links["a"] == rank["label"]).groupBy(F.col("b").alias("label")).agg(F.sum(F.col("p") * F.col("rank")).alias("s"))
-        rank = flow.select("label", (F.lit((1 - alpha) / max(n, 1)) + alpha * F.col("s")).alias("rank"))
-        if (i + 1) % checkpoint_every == 0 and pairs.sparkSession.sparkContext.getCheckpointDir():
-            rank = rank.checkpoint()
+        new = flow.select("label", (F.lit((1 - alpha) / n) + alpha * F.col("s")).alias("rank"))
+        if (i + 1) % checkpoint_every == 0:
+            # the change of a few rounds is looked at together, as each look runs the plan so far
+            new = new.checkpoint() if pairs.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+            if held is not None and new.join(held.withColumnRenamed("rank", "before"), "label").agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < tolerance * n:
+                rank = new
+                break
+            held = new
+        rank = new
     return rank
 
 
-def textrank(docs: DataFrame, profile: Profile, top_k: int = 80, rounds: int = 30) -> DataFrame:
+def textrank(docs: DataFrame, profile: Profile, top_k: int = 80, rounds: int = 100) -> DataFrame:
     """PageRank over window pairs; the top_k are taken before labels of two letters or less go."""
     top = pagerank(window_pairs(docs, profile), rounds).orderBy(F.desc("rank"), "label").limit(top_k)
     return _as_vertices(_share_of_max(top, "rank").filter(F.length("label") > 2), "textrank")
@@ -147,45 +196,52 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 def mmr(candidates: list[str], cand: np.ndarray, doc: np.ndarray, top_k: int, diversity: float = 0.5) -> list[tuple[str, float]]:
-    """Greedy maximal marginal relevance; below .05 only while fewer than five are chosen."""
+    """Maximal marginal relevance: candidates by falling similarity to the document (ties in their own
+    order), each passed over if its value is .05 or less, save while fewer than five are chosen."""
     sim = cand @ doc
+    red = np.full(len(candidates), -np.inf)
     chosen: list[int] = []
-    red = np.zeros(len(candidates))
-    while len(chosen) < min(top_k, len(candidates)):
-        value = (1 - diversity) * sim - diversity * red
-        value[chosen] = -np.inf
-        i = int(np.argmax(value))
-        if value[i] <= 0.05 and len(chosen) >= 5:
+    for i in np.argsort(-sim, kind="stable").tolist():
+        if len(chosen) >= top_k:
             break
-        chosen.append(i)
-        red = np.maximum(red, cand @ cand[i])
+        if not chosen or (1 - diversity) * sim[i] - diversity * red[i] > 0.05 or len(chosen) < 5:
+            chosen.append(i)
+            red = np.maximum(red, cand @ cand[i])
     return [(candidates[i], float(sim[i])) for i in chosen]
 
 
-def keybert(docs: DataFrame, profile: Profile, top_k: int = 100, encoder: Encoder = char_hash_encoder, n_docs: int = 30, head: int = 4000, most: int = 800) -> DataFrame:
-    """Key phrases close to a bounded sample of the corpus and unlike each other (a sampling operator by definition)."""
+def keybert(docs: DataFrame, profile: Profile, top_k: int = 100, encoder: Encoder = char_hash_encoder, n_docs: int = 30, head: int = 4000, chars: int = 12000) -> DataFrame:
+    """Key phrases close to a sample of the corpus and unlike each other.
+
+    A sampling operator by definition: the first ``head`` characters of ``n_docs`` documents, of
+    these the first ``chars``; all phrases of up to three words in them are candidates.
+    """
     spark = docs.sparkSession
-    rows = docs.orderBy("doc_id").limit(n_docs).select(F.substring("text", 1, head).alias("t")).withColumn("w", tx.tokens(F.col("t"), profile.token)).select("t", F.concat(*[tx.ngrams(F.col("w"), n) for n in (1, 2, 3)]).alias("g")).collect()
-    phrases = sorted({g for r in rows for g in r["g"] if len(g) >= 4})[:most]
+    heads = [r["t"] or "" for r in docs.orderBy("doc_id").limit(n_docs).select(F.substring("text", 1, head).alias("t")).collect()]
+    text = spark.createDataFrame([(" ".join(heads)[:chars],)], "t string").withColumn("w", tx.tokens(F.col("t"), profile.token))
+    (row,) = text.select("t", F.concat(*[tx.ngrams(F.col("w"), n) for n in (1, 2, 3)]).alias("g")).collect()
+    phrases = sorted({g for g in row["g"] if len(g) >= 4})
     if not phrases:
         return spark.createDataFrame([], SCHEMA)
-    doc = encoder([" ".join(r["t"] for r in rows)[:12000]])[0]
-    found = mmr(phrases, encoder(phrases), doc, top_k)
+    found = mmr(phrases, encoder(phrases), encoder([row["t"]])[0], top_k)
     return _as_vertices(spark.createDataFrame(found, "label string, score double"), "keybert")
 
 
-def bertscore(docs: DataFrame, candidates: DataFrame, encoder: Encoder = char_hash_encoder, most: int = 200, n_docs: int = 50) -> DataFrame:
-    """Candidates by their cosine to the titles (or text heads) of the first documents, over the largest."""
-    spark = docs.sparkSession
-    labels = [r["label"] for r in candidates.select("label").distinct().orderBy("label").limit(most).collect()]
+def bertscore(docs: DataFrame, candidates: DataFrame, encoder: Encoder = char_hash_encoder, n_docs: int = 50) -> DataFrame:
+    """All candidates by their cosine to the titles (or text heads) of the first documents, over the largest; encoded where they lie."""
     col = "title" if "title" in docs.columns else "text"
     head = " ".join((r[col] or "")[:2000] for r in docs.orderBy("doc_id").limit(n_docs).select(F.substring(col, 1, 2000).alias(col)).collect())
-    if not labels:
-        return spark.createDataFrame([], SCHEMA)
-    sim = encoder(labels) @ encoder([head[:12000]])[0]
-    most_sim = float(sim.max()) or 1.0
-    rows = [(x, float(s) / most_sim) for x, s in zip(labels, sim, strict=True)]
-    return _as_vertices(spark.createDataFrame(rows, "label string, score double"), "bertscore")
+    target = encoder([head[:12000]])[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sim = encoder(batch.column("label").to_pylist()) @ target
+                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(sim.astype(float))], ["label", "s"])
+
+    scored = candidates.select("label").distinct().mapInArrow(run, "label string, s double")
+    most = scored.agg(F.coalesce(F.nullif(F.max("s"), F.lit(0.0)), F.lit(1.0)).alias("m"))
+    return _as_vertices(scored.crossJoin(F.broadcast(most)).select("label", (F.col("s") / F.col("m")).alias("score")), "bertscore")
 
 
 def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
@@ -210,7 +266,11 @@ def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def paraphrase_clusters(vertices: DataFrame, similarity: float = 0.85, encoder: Encoder = char_hash_encoder, most: int = 4000) -> DataFrame:
-    """One representative (the best-scored member) for each cluster of like labels; at most ``most`` labels, by score."""
+    """One representative (the best-scored member) for each cluster of like labels.
+
+    Clusters are sought among the ``most`` best labels, as linkage needs all distances at once;
+    labels beyond them keep the rows that their own scorers gave them.
+    """
     top = vertices.orderBy(F.desc("score"), "label").limit(most).withColumn("_g", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import TRUTH_CORPUS, BuildConfig
 from ..operators import edges, graph, retrieval, stability, vertices
+from ..sources import files
 
 
 @dataclass
@@ -30,7 +31,7 @@ class GraphConstructor:
         """Vertices, typed edges, pruning; lazy but for the bounded list of labels."""
         c = self.config
         v = vertices.extract(docs, c)
-        e = edges.build(docs, edges.labels_of(v, c.max_vertices), c)
+        e = edges.build(docs, edges.labels_of(v), c)
         return Built(v, graph.pinned(graph.filtered(e, c.max_vertices, c.min_weight, c.min_pmi, c.backbone_k)))
 
     def run(self, docs: DataFrame, stress: bool = True, baseline: bool = True) -> dict:
@@ -38,7 +39,7 @@ class GraphConstructor:
         out: dict = {"graph": built, "meta": graph.metrics(built.edges)}
         if stress:
             c = self.config
-            nodes, pairs = stability.stress(docs, lambda d: self.build(d).edges, c.stress_seeds, c.stress_fraction, c.seed, c.stress_threshold, "actor" if "actor" in docs.columns else None)
+            nodes, pairs = stability.stress(docs, lambda d: self.build(d).edges, c.stress_seeds, c.stress_fraction, c.seed, c.stress_threshold)
             out["stress"] = {"nodes": nodes, "edges": pairs}
         if baseline:
             b = edges.baseline(docs, self.config.profile)
@@ -47,6 +48,18 @@ class GraphConstructor:
             out["baseline"] = {"edges": b, "communities": graph.communities(b, rows)}
         return out
 
+    @staticmethod
+    def save(made: dict, path: str) -> None:
+        """What run() made: the graph as CSV, run_meta, stress votes and communities as JSON."""
+        files.write_graph(made["graph"].nodes(), made["graph"].edges, f"{path}/graph")
+        files.write_json(made["meta"], f"{path}/run_meta")
+        if "stress" in made:
+            files.write_json(made["stress"]["nodes"], f"{path}/stress_nodes")
+            files.write_json(made["stress"]["edges"], f"{path}/stress_edges")
+        if "baseline" in made:
+            files.write_graph(made["baseline"]["edges"].select(F.explode(F.array("src", "dst")).alias("id")).distinct(), made["baseline"]["edges"], f"{path}/baseline")
+            files.write_json(made["baseline"]["communities"], f"{path}/communities")
+
 
 class QuestionAnswering:
     """Contexts by strategy (walk, community, combined, long) and, with a client, answers."""

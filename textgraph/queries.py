@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -122,13 +123,16 @@ def _vertices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, d: str) -> list[str]:
-    return edges.labels_of(_vertices(spark, d), TOP)
+    return edges.labels_of(_vertices(spark, d))
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     x, labels = docs(spark, d), _labels(spark, d)
+    found = edges.mentions(x, P, labels).persist()
     # at most TOP**2 rows, which many branches of a plan read
-    return graph.pinned(edges.merge([edges.cooccurrence(x, P, labels), edges.rhetorical(x, P, labels), edges.emotional(x, P, labels)]))
+    out = graph.pinned(edges.merge([m(x, P, labels, found=found) for m in (edges.cooccurrence, edges.rhetorical, edges.emotional)]))
+    found.unpersist()
+    return out
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
@@ -284,13 +288,8 @@ def href_discovery(spark, d):
     return corpus.hrefs(_t(spark, d, "pages"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text[:120], ','), lambda x: trim(x, {_BLANK})), lambda x: x <> ''), '|') AS tags FROM documents")
-def tag_parsing(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(tx.parse_tags(F.substring("text", 1, 120)), "|").alias("tags"))
-
-
 @query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, {_BLANK})), lambda x: x <> ''), '|') AS tags FROM documents")
-def tag_parsing_whole(spark, d):
+def tag_parsing(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(tx.parse_tags(F.col("text")), "|").alias("tags"))
 
 
@@ -314,16 +313,9 @@ def vertices_docfreq(spark, d):
 
 
 def _derived(spark, d) -> DataFrame:
-    """Keywords: the first ten tokens; entities: capitalised words of six letters or more, typed by length."""
-    x = docs(spark, d)
-    kw = F.slice(tx.tokens(F.col("text"), P.token), 1, 10)
+    """Entities: capitalised words of six letters or more, typed by length."""
     ents = F.transform(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{5,}"), 0), lambda e: F.struct(e.alias("text"), F.when(F.length(e) > 8, "LONG").otherwise("SHORT").alias("type")))
-    return x.select("doc_id", "text", kw.alias("keywords"), ents.alias("entities"))
-
-
-@query(f"WITH {DTOK}, k AS (SELECT w AS label, count(*) AS n FROM (SELECT unnest(t[1:10]) AS w FROM dtok) GROUP BY w) SELECT label, round(n / (SELECT max(n) FROM k), 6) AS score FROM k")
-def vertices_keywords(spark, d):
-    return vertices.keywords(_derived(spark, d)).select("label", F.round("score", 6).alias("score"))
+    return docs(spark, d).select("doc_id", "text", ents.alias("entities"))
 
 
 def _top_tokens(x: DataFrame) -> DataFrame:
@@ -336,7 +328,7 @@ _TOP_TOKENS = f"{DTOK}, cnt AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc
 
 
 @query(f"WITH {_TOP_TOKENS}, k AS (SELECT w AS label, count(*) AS n FROM tops GROUP BY w) SELECT label, round(n / (SELECT max(n) FROM k), 6) AS score FROM k")
-def vertices_keywords_whole(spark, d):
+def vertices_keywords(spark, d):
     kw = _top_tokens(docs(spark, d)).select(F.array("w").alias("keywords"))
     return vertices.keywords(kw).select("label", F.round("score", 6).alias("score"))
 
@@ -393,10 +385,16 @@ def _rank_sql(rounds: int) -> str:
 
 @query(_rank_sql(4))
 def textrank_rank(spark, d):
-    r = vertices.pagerank(vertices.window_pairs(docs(spark, d), P), 4)
+    r = vertices.pagerank(vertices.window_pairs(docs(spark, d), P), 4, tolerance=0.0)
     return r.orderBy(F.desc("rank"), "label").limit(30).select("label", F.round("rank", 7).alias("rank"))
 
 
+@query()
+def vertices_textrank(spark, d):
+    """To convergence, which SQL cannot say; textrank_rank has the SQL of a few rounds."""
+    return vertices.textrank(docs(spark, d), P).select("label", F.round("score", 6).alias("score"))
+
+
 @query()
 def vertices_keybert(spark, d):
     return vertices.keybert(docs(spark, d), P, 20).select("label", F.round("score", 4).alias("score"))
@@ -452,6 +450,11 @@ sp AS (SELECT src, dst, round(avg(-log2(greatest((coalesce(nb, 0) + 1) / (SELECT
   FROM ep LEFT JOIN bi ON bi.ab = ep.a || ' ' || ep.b LEFT JOIN u ON u.a = ep.a GROUP BY src, dst)"""
 
 
+@query(f"WITH {GRAPH0} SELECT src, dst, weight FROM edges WHERE contains(methods, 'emotional')")
+def edges_by_method(spark, d):
+    return edges.by_method(_typed(spark, d), "emotional").select("src", "dst", "weight")
+
+
 @query(f"WITH {GRAPH0}, {_SURPRISAL} SELECT src, dst, surprisal FROM sp")
 def edges_surprisal(spark, d):
     return edges.surprisal(docs(spark, d), P, _typed(spark, d))
@@ -469,22 +472,12 @@ def hot_edges(spark, d):
     return retrieval.hot_edges(e, 12).select("src", "dst", "surprisal", "weight")
 
 
-@query(f"""WITH ls AS (SELECT doc_id, text, regexp_extract_all(lower(text[:200]), {_TOK})[1:6] AS l FROM documents),
-s AS (SELECT doc_id, l, unnest(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x, {_BLANK})), lambda x: length(x) > 20)) AS unit FROM ls),
-n AS (SELECT row_number() OVER () AS k, unit, l FROM s),
-h AS (SELECT DISTINCT k, x FROM (SELECT k, unit, unnest(l) AS x FROM n) WHERE contains(lower(unit), x))
-SELECT a.x AS src, b.x AS dst, count(*) AS weight FROM h a JOIN h b ON a.k = b.k AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= 2""")
-def legacy_cooccurrence(spark, d):
-    x = docs(spark, d).withColumn("labels", F.slice(tx.tokens(F.substring("text", 1, 200), P.token), 1, 6))
-    return edges.legacy_cooccurrence(x).filter(F.col("weight") >= 2)
-
-
 @query(rf"""WITH {_TOP_TOKENS}, lab AS (SELECT doc_id, w FROM tops UNION SELECT doc_id, lower(unnest(regexp_extract_all(text, '\p{{Lu}}\p{{Ll}}{{5,}}'))) FROM documents),
 s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x, {_BLANK})), lambda x: length(x) > 20)) AS unit FROM documents),
 n AS (SELECT row_number() OVER () AS k, doc_id, unit FROM s),
 h AS (SELECT k, w AS x FROM n JOIN lab USING (doc_id) WHERE contains(lower(unit), w))
 SELECT a.x AS src, b.x AS dst, count(*) AS weight FROM h a JOIN h b ON a.k = b.k AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= 2""")
-def legacy_cooccurrence_whole(spark, d):
+def legacy_cooccurrence(spark, d):
     x = docs(spark, d)
     ents = x.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{5,}"), 0)).alias("w")).withColumn("w", F.lower("w"))
     labels = _top_tokens(x).unionByName(ents).groupBy("doc_id").agg(F.sort_array(F.collect_set("w")).alias("labels"))
@@ -525,8 +518,12 @@ def graph_filtered(spark, d):
     return _graph(spark, d).select("src", "dst", "weight", "pmi", F.array_join("methods", ",").alias("methods"))
 
 
-@query(f"""WITH {GRAPH}, {DEG}
+_REACH = "gb AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), gr AS (SELECT a AS id, a AS c FROM gb UNION SELECT gb.b, gr.c FROM gr JOIN gb ON gb.a = gr.id)"
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, {DEG}, {_REACH}
 SELECT count(*) AS nodes, round(avg(degree), 4) AS avg_degree, max(degree) AS max_degree, (SELECT count(*) FROM g) AS edges, (SELECT CAST(median(weight) AS DOUBLE) FROM g) AS weight_median, (SELECT median(pmi) FROM g) AS pmi_median,
+(SELECT count(DISTINCT c) FROM (SELECT id, min(c) AS c FROM gr GROUP BY id)) AS components,
 round(2 * (SELECT count(*) FROM g) / (count(*) * (count(*) - 1)), 6) AS density, round(2 * (SELECT count(*) FROM g) / count(*), 2) AS edges_per_node FROM deg""")
 def graph_metrics(spark, d):
     return graph.metrics(_graph(spark, d)).withColumn("density", F.round("density", 6))
@@ -643,9 +640,29 @@ def invariant_core(spark, d):
     return stability.core(_run_edges(spark, d), 5, 0.8)[1].select("src", "dst", "votes")
 
 
-@query()
+_DROP = """
+u AS (SELECT run_id, source AS unit FROM (SELECT DISTINCT coalesce(source, 'unknown') AS source FROM documents), (SELECT unnest(range(5)) AS run_id)),
+o AS (SELECT run_id, unit, row_number() OVER (PARTITION BY run_id ORDER BY md5(concat_ws(':', 42 + 17 * run_id, 'source', unit)), unit) AS k, count(*) OVER (PARTITION BY run_id) AS t FROM u),
+lf AS (SELECT r.run_id, doc_id FROM documents, (SELECT unnest(range(5)) AS run_id) r WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.run_id = r.run_id AND o.unit = coalesce(source, 'unknown') AND k <= least(t - 1, greatest(1, floor(t * 0.2))))),
+sm AS (SELECT run_id, doc_id, row_number() OVER (PARTITION BY run_id ORDER BY md5(concat_ws(':', 42 + 17 * run_id, 'sample', doc_id)), doc_id) AS k, count(*) OVER (PARTITION BY run_id) AS t FROM lf),
+dr AS (SELECT run_id, doc_id FROM sm WHERE t <= 20 OR k <= floor(t * 0.9))"""
+
+
+@query(f"WITH {_DROP} SELECT CAST(run_id AS INTEGER) AS run_id, count(*) AS n, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS ids_md5 FROM dr GROUP BY run_id")
 def stress_dropout(spark, d):
-    return stability.runs(docs(spark, d), 5, 0.2, 42).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    r = stability.runs(docs(spark, d), 5, 0.2, 42)
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
+    return r.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.md5(ids.cast("binary")).alias("ids_md5"))
+
+
+@query()
+def stress_core(spark, d):
+    """The whole constructor on each of three dropouts, and what is stable."""
+    from .plans import GraphConstructor
+
+    constructor = GraphConstructor(TESTDATA)
+    nodes, _ = stability.stress(docs(spark, d), lambda x: constructor.build(x).edges, 3, 0.2, 42, 0.5)
+    return nodes.select("id", "votes", F.round("stability", 6).alias("stability"))
 
 
 # ---- retrieval ------------------------------------------------------------------------------------------
@@ -753,12 +770,12 @@ def _tokens(spark, d) -> DataFrame:
 
 @query(_rouge_sql(1))
 def rouge1(spark, d):
-    return _tokens(spark, d).select("conv_id", "turn", F.round(mx.rouge_n(F.col("h"), F.col("r"), 1), 6).alias("rouge1"))
+    return evaluation.rouge_n(_answers(spark, d), ["conv_id", "turn"], 1).withColumn("rouge1", F.round("rouge1", 6))
 
 
 @query(_rouge_sql(2))
 def rouge2(spark, d):
-    return _tokens(spark, d).select("conv_id", "turn", F.round(mx.rouge_n(F.col("h"), F.col("r"), 2), 6).alias("rouge2"))
+    return evaluation.rouge_n(_answers(spark, d), ["conv_id", "turn"], 2).withColumn("rouge2", F.round("rouge2", 6))
 
 
 @query()
@@ -813,49 +830,119 @@ def keypoint_budget(spark, d):
     return evaluation.budget_eval(ctx, gold).withColumn("recall", F.round("recall", 6))
 
 
-@query(f"""WITH {_EV}, m AS (SELECT role AS method, CASE WHEN len(h) = 0 THEN 0.0 ELSE len(list_distinct(h)) / len(h) END AS ttr, CASE WHEN len(h) = 0 THEN 0.0 WHEN len(h) <= 220 THEN len(h) / 220 ELSE greatest(0.4, 220 / len(h)) END AS l FROM tk)
-SELECT method, round(avg(ttr), 6) AS ttr, round(avg(l), 6) AS length_v2, round(avg(0.10 * ttr + 0.10 * ttr + 0.15 * ttr + 0.20 * l + 0.25 * l + 0.15 * l + 0.05 * l), 6) AS composite FROM m GROUP BY method""")
-def compare_methods(spark, d):
-    t = _tokens(spark, d).select(F.col("role").alias("method"), mx.ttr(F.col("h")).alias("ttr"), mx.length_v2(F.size("h")).alias("length_v2"))
-    a, b = F.col("ttr"), F.col("length_v2")
-    t = t.withColumn("composite", mx.composite_v2(a, a, a, b, b, b, b))
-    out = evaluation.compare_methods(t, ["ttr", "length_v2", "composite"])
-    return out.select("method", *[F.round(c, 6).alias(c) for c in ("ttr", "length_v2", "composite")])
+_ANSWER_METRICS = ORACLES["answer_metrics"]
+
+
+@query(f"""SELECT role AS method, round(avg(rouge1), 6) AS rouge1, round(avg(rouge2), 6) AS rouge2, round(avg(coverage), 6) AS coverage, round(avg(length_v1), 6) AS length_v1,
+ round(avg((ttr + coverage + length_v1) / 3), 6) AS composite_v1
+FROM ({_rouge_sql(1)}) JOIN ({_rouge_sql(2)}) USING (conv_id, turn) JOIN ({_ANSWER_METRICS}) USING (conv_id, turn) JOIN (SELECT conv_id, turn, role FROM conversations) USING (conv_id, turn) GROUP BY role""")
+def method_means(spark, d):
+    s = evaluation.scored(_answers(spark, d), ["conv_id", "turn"])
+    s = s.withColumns({c: F.round(c, 6) for c in ("rouge1", "rouge2", "ttr", "coverage", "length_v1")}).withColumn("method", F.col("role"))
+    s = s.withColumn("composite_v1", mx.composite_v1(*map(F.col, ("ttr", "coverage", "length_v1"))))
+    names = ["rouge1", "rouge2", "coverage", "length_v1", "composite_v1"]
+    return evaluation.compare_methods(s, names).select("method", *[F.round(c, 6).alias(c) for c in names])
 
 
-@query("""SELECT event_type, CAST(mn AS DOUBLE) AS least, CAST(mxx AS DOUBLE) AS most FROM (SELECT event_type, min(s) AS mn, max(s) AS mxx FROM (SELECT event_type, round((least(5.0, greatest(1.0, value / 20)) - 1) / 4, 6) AS s FROM events) GROUP BY event_type)""")
+@query()
+def compare_methods(spark, d):
+    """Means of all seven metrics and their composite by role; a question's words of four letters or more are its key points."""
+    a = _answers(spark, d)
+    key = ["conv_id", "turn"]
+    s = evaluation.scored(a, key).join(evaluation.semantic(a, key), key)
+    points = F.array_distinct(F.filter(mx.eval_tokens(F.col("reference")), lambda w: F.length(w) >= 4))
+    s = s.withColumn("keypoints", mx.keypoint_coverage(points, F.col("answer"))).withColumn("method", F.col("role"))
+    names = ["rouge1", "rouge2", "rouge_l", "semantic", "keypoints", "coverage", "length_v2"]
+    s = s.withColumn("composite", mx.composite_v2(*map(F.col, names))).withColumn("composite_v1", mx.composite_v1(*map(F.col, ("ttr", "coverage", "length_v1"))))
+    return evaluation.compare_methods(s, [*names, "composite", "composite_v1"]).select("method", *[F.round(c, 6).alias(c) for c in (*names, "composite", "composite_v1")])
+
+
+@query("SELECT event_id, round((least(5.0, greatest(1.0, round(value / 20, 4))) - 1) / 4, 6) AS judge FROM events")
 def judge_json(spark, d):
+    """Replies with a thought, a valid object before the last one that is valid, and a broken one after it."""
     e = _t(spark, d, "events")
-    reply = F.concat(F.lit("<think>{\"faithfulness\": 9}</think> ```json\n"), F.lit('{"faithfulness": 0} {"faithfulness": '), (F.col("value") / 20).cast("string"), F.lit("}\n```"))
-    got = evaluation.judged(e.select("event_type", reply.alias("reply")), criteria=("faithfulness",))
-    return got.groupBy("event_type").agg(F.min(F.round("judge", 6)).alias("least"), F.max(F.round("judge", 6)).alias("most"))
+    mark = F.round(F.col("value") / 20, 4).cast("string")
+    reply = F.concat(F.lit("<think>{\"faithfulness\": 9}</think> ```json\n"), F.lit('{"faithfulness": 0} {"faithfulness": '), mark, F.lit('}\n``` {"faithfulness": }'))
+    return evaluation.judged(e.select("event_id", reply.alias("reply")), criteria=("faithfulness",)).select("event_id", F.round("judge", 6).alias("judge"))
 
 
-@query("""SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS assistant, count(*) FILTER (WHERE role = 'user') AS "user" FROM conversations GROUP BY conv_id""")
+@query(f"""WITH {_EV} SELECT conv_id AS q_id, max(len(h)) FILTER (WHERE role = 'assistant') AS assistant, max(len(h)) FILTER (WHERE role = 'user') AS "user", max(len(h)) FILTER (WHERE role = 'system') AS "system" FROM tk GROUP BY conv_id""")
 def question_matrix(spark, d):
-    c = _t(spark, d, "conversations")
-    return c.groupBy("conv_id").pivot("role", ["assistant", "user"]).count().na.fill(0)
+    s = _tokens(spark, d).groupBy(F.col("conv_id").alias("q_id"), F.col("role").alias("method")).agg(F.max(F.size("h")).cast("bigint").alias("n"))
+    return evaluation.question_matrix(s, "n")
 
 
-@query()
+@query("""SELECT item_id AS q_id, method, chr(CAST(64 + row_number() OVER (PARTITION BY item_id ORDER BY md5('42:' || item_id || ':' || method)) AS INTEGER)) AS letter
+FROM benchmark, (SELECT unnest(['walk', 'community', 'long']) AS method)""")
 def blind_letters(spark, d):
     a = _t(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.explode(F.array(F.lit("walk"), F.lit("community"), F.lit("long"))).alias("method"))
     return evaluation.blinded(a)
 
 
-@query(f"""WITH {GRAPH}, {DEG} SELECT 'corpus_size' AS "check", count(*) >= 100 AS ok, CAST(count(*) AS VARCHAR) AS detail FROM documents
+_WORDS = ["tion", "ment", "heit"]
+_HIT = lambda c: " OR ".join(f"contains(lower({c}), '{w}')" for w in _WORDS)
+
+
+@query(rf"""WITH {GRAPH}, {DEG}, {_TOP_TOKENS.replace(DTOK + ', ', '')},
+en AS (SELECT doc_id, regexp_extract_all(text, '\p{{Lu}}\p{{Ll}}{{5,}}') AS x FROM documents),
+tn AS (SELECT item FROM (SELECT lower(unnest(x)) AS item FROM en) GROUP BY item ORDER BY count(*) DESC, item LIMIT 20),
+tk AS (SELECT w AS item FROM tops GROUP BY w ORDER BY count(*) DESC, item LIMIT 50),
+ra AS (SELECT round(2 * (SELECT count(*) FROM g) / count(*), 2) AS epn FROM deg)
+SELECT 'corpus_size' AS "check", count(*) BETWEEN 100 AND 1000000000 AS ok, CAST(count(*) AS VARCHAR) AS detail FROM documents
 UNION ALL SELECT 'median_text_len', median(length(text)) BETWEEN 800 AND 5000, CAST(CAST(round(median(length(text))) AS BIGINT) AS VARCHAR) FROM documents
-UNION ALL SELECT 'graph_not_dense', (SELECT count(*) FROM g) * 2.0 / (SELECT count(*) FROM deg) <= 6, CAST((SELECT count(*) FROM g) AS VARCHAR)
-UNION ALL SELECT 'graph_has_edges', (SELECT count(*) FROM g) >= 100, CAST((SELECT count(*) FROM g) AS VARCHAR)""")
+UNION ALL SELECT 'title_relevance', count(*) >= 50, CAST(count(*) AS VARCHAR) FROM (SELECT split_part(text, chr(10), 1) AS t FROM documents) WHERE {_HIT('t')}
+UNION ALL SELECT 'ner_present', median(len(x)) >= 10, CAST(CAST(round(median(len(x))) AS BIGINT) AS VARCHAR) FROM en
+UNION ALL SELECT 'top_ner_domain', count(*) >= 5, CAST(count(*) AS VARCHAR) FROM tn WHERE {_HIT('item')}
+UNION ALL SELECT 'keywords_domain', count(*) >= 3, CAST(count(*) AS VARCHAR) FROM tk WHERE {_HIT('item')}
+UNION ALL SELECT 'constructor_not_dense', epn <= 6, CAST(epn AS VARCHAR) FROM ra
+UNION ALL SELECT 'constructor_has_edges', (SELECT count(*) FROM g) >= 100, CAST((SELECT count(*) FROM g) AS VARCHAR)
+UNION ALL SELECT 'constructor_pmi', median(pmi) >= 4, CAST(round(median(pmi), 4) AS VARCHAR) FROM g
+UNION ALL SELECT 'author_diversity', count(DISTINCT source) >= 5, CAST(count(DISTINCT source) AS VARCHAR) FROM documents
+UNION ALL SELECT 'tags_domain', count(DISTINCT lang) FILTER (WHERE {_HIT('lang')}) >= 2, CAST(count(DISTINCT lang) FILTER (WHERE {_HIT('lang')}) AS VARCHAR) FROM documents
+UNION ALL SELECT 'temporal_span', max(doc_id % 10) >= 2, CAST(max(doc_id % 10) AS VARCHAR) FROM documents
+UNION ALL SELECT 'summaries_present', count(text) >= count(*) * 0.8, CAST(count(text) AS VARCHAR) FROM documents""")
 def sanity_checks(spark, d):
-    s = profile.corpus_stats(docs(spark, d))
-    g = graph.metrics(_graph(spark, d))
-    return profile.checks([
-        ("corpus_size", s, F.col("n_docs") >= 100, F.col("n_docs")),
-        ("median_text_len", s, F.col("median_chars").between(800, 5000), F.round("median_chars").cast("bigint")),
-        ("graph_not_dense", g, F.col("edges") * 2.0 / F.col("nodes") <= 6, F.col("edges")),
-        ("graph_has_edges", g, F.col("edges") >= 100, F.col("edges")),
-    ])
+    kw = _top_tokens(docs(spark, d)).groupBy("doc_id").agg(F.collect_list("w").alias("keywords"))
+    x = _derived(spark, d).join(kw, "doc_id", "left")
+    rules = profile.corpus_rules(x, F.split_part("text", F.lit("\n"), F.lit(1)), _WORDS, (100, 1_000_000_000), (800, 5000), 50, 10, 5, 3)
+    rules += profile.graph_rules({"constructor": graph.metrics(_graph(spark, d))}, least_pmi={"constructor": 4.0})
+    dated = docs(spark, d).withColumn("date", F.concat((2000 + F.col("doc_id") % 10).cast("string"), F.lit("-06-01")))
+    rules += profile.share_rules(dated, "source", F.array("lang"), "date", "text", _WORDS)
+    return profile.checks(rules)
+
+
+@query(f"WITH {_TOP_TOKENS} SELECT w AS item, count(*) AS n FROM tops GROUP BY w ORDER BY n DESC, item LIMIT 20")
+def top_keywords(spark, d):
+    kw = _top_tokens(docs(spark, d)).groupBy("doc_id").agg(F.collect_list("w").alias("keywords"))
+    return profile.top_items(kw, F.col("keywords"))
+
+
+@query(f"""WITH {DTOK}, gx AS (SELECT doc_id, unnest(list_transform(range(1, len(t) + 1), lambda i: {{'g': t[i], 'pos': i - 1, 'n': 1}}) || list_transform(range(1, len(t)), lambda i: {{'g': t[i] || ' ' || t[i+1], 'pos': i - 1, 'n': 2}})
+ || list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: {{'g': t[i] || ' ' || t[i+1] || ' ' || t[i+2], 'pos': i - 1, 'n': 3}})) AS x FROM dtok),
+cn AS (SELECT doc_id, x.g AS g, x.n AS n, count(*) AS f, min(x.pos) AS pos FROM gx WHERE split_part(x.g, ' ', 1) NOT IN ({_STOP}) AND split_part(x.g, ' ', -1) NOT IN ({_STOP}) GROUP BY ALL),
+rk AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY round(f * n / log2(pos + 4.0), 9) DESC, g) AS r FROM cn)
+SELECT doc_id, coalesce(string_agg(g, '|' ORDER BY r) FILTER (WHERE r <= 20), '') AS keywords FROM documents LEFT JOIN rk USING (doc_id) GROUP BY doc_id""")
+def keyphrases(spark, d):
+    return corpus.keyphrases(docs(spark, d), P.token, P.stop_words).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+
+
+_LEMMA = "CASE WHEN length(w) > 5 THEN left(w, 5) ELSE w END"
+
+
+@query(f"""WITH {DTOK}, lt AS (SELECT doc_id, list_transform(t, lambda w: {_LEMMA}) AS t FROM dtok),
+df0 AS (SELECT w AS label, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(t)) AS w FROM lt) WHERE (length(w) >= 3 AND w NOT IN ({_STOP}) AND right(w, 1) <> 'e') OR w IN ({_SEED}) GROUP BY w),
+vert AS (SELECT label, df / (SELECT max(df) FROM df0) AS score, df FROM df0 WHERE CASE WHEN label IN ({_SEED}) THEN df >= 2 ELSE df >= 3 END ORDER BY (label IN ({_SEED})) DESC, df DESC, label LIMIT {TOP}),
+{SENTS.strip().replace('t, ' + _BIG, 't, ' + _BIG).split(', ugram AS')[0]}, um AS (SELECT doc_id, unit_idx, list_transform(t, lambda w: {_LEMMA}) AS t FROM utok),
+mt AS (SELECT DISTINCT doc_id, unit_idx, label FROM um, vert WHERE list_contains(t, label))
+SELECT a.label AS src, b.label AS dst, count(DISTINCT a.doc_id) AS weight FROM mt a JOIN mt b ON a.doc_id = b.doc_id AND a.unit_idx = b.unit_idx AND a.label < b.label GROUP BY 1, 2""")
+def lemma_edges(spark, d):
+    """Vertices and edges by lemma, with a dictionary table (here: long words to their first five letters) and content words (here: not those in -e)."""
+    x = docs(spark, d)
+    forms = x.select(F.explode(F.array_distinct(tx.tokens(F.col("text"), P.token))).alias("token")).distinct()
+    lemmas = forms.filter(F.length("token") > 5).select("token", F.left("token", F.lit(5)).alias("lemma"))
+    content = forms.select(F.left("token", F.lit(5)).alias("term")).distinct().withColumn("is_content", ~F.col("term").endswith("e"))
+    p = replace(P, lexicon=tx.Lexicon(lemmas, content))
+    return edges.cooccurrence(x, p, edges.labels_of(vertices.docfreq(x, p, TOP))).select("src", "dst", "weight")
 
 
 # ---- vectors --------------------------------------------------------------------------------------------------
@@ -864,14 +951,16 @@ def sanity_checks(spark, d):
 @query("""WITH q AS (SELECT vec_id AS q_id, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0)
 SELECT q_id, vec_id, rank FROM (SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY round(list_dot_product(qe::DOUBLE[], embedding::DOUBLE[]), 9) DESC, vec_id) AS rank FROM q, embeddings) WHERE rank <= 5""")
 def embed_cosine_topk(spark, d):
-    """Nearest vectors of the stated queries (every fiftieth id), which go to all rows in one broadcast."""
-    e = _t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    q = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q_id"), F.col("e").alias("qe"))
-    dot = F.round(F.aggregate(F.zip_with("qe", "e", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 9)
-    return retrieval._rank(q.join(e).withColumn("s", dot), [F.desc("s"), F.col("vec_id")], 5).select("q_id", "vec_id", "rank")
+    """Nearest vectors of the stated queries (every fiftieth id), in blocks, among all rows."""
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    q = e.filter(F.col("id") % 50 == 0).withColumnRenamed("id", "q_id")
+    return retrieval.nearest(q, e, 5).withColumnRenamed("id", "vec_id")
 
 
-@query()
+_BUILD = GRAPH.replace(f"LIMIT {TOP}\n", f"LIMIT {TESTDATA.max_vertices}\n").replace(f"LIMIT {MAXN})", f"LIMIT {TESTDATA.max_vertices})").replace(f"weight >= {MINW})", f"weight >= {TESTDATA.min_weight})").replace(f"pmi >= {MINPMI})", f"pmi >= {TESTDATA.min_pmi})").replace(f"n <= {KNN})", f"n <= {TESTDATA.backbone_k})")
+
+
+@query(f"WITH {_BUILD}, {_SURPRISAL} SELECT src, dst, weight, methods || ',perplexity' AS methods, relation, surprisal, pmi FROM g JOIN sp USING (src, dst)")
 def graph_build(spark, d):
     """The flagship: the whole constructor, from texts to the pruned typed graph."""
     from .plans import GraphConstructor

@@ -91,9 +91,9 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """nodes and edges as CSV folders, arrays joined by commas."""
-    nodes.write.mode("overwrite").option("header", True).csv(f"{path}/nodes")
-    flat = edges.select(*[F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in edges.dtypes])
-    flat.withColumnsRenamed({"src": "source", "dst": "target"}).write.mode("overwrite").option("header", True).csv(f"{path}/edges")
+    flat = lambda df: df.select(*[F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
+    flat(nodes).write.mode("overwrite").option("header", True).csv(f"{path}/nodes")
+    flat(edges).withColumnsRenamed({"src": "source", "dst": "target"}).write.mode("overwrite").option("header", True).csv(f"{path}/edges")
 
 
 def write_json(df: DataFrame, path: str) -> None:
