@@ -45,22 +45,23 @@ def _placed(t: Column, labels: list[str]) -> Column:
     return F.transform(F.array_sort(F.concat(places(t, one), places(tx.bigrams(t), two))), lambda m: m["label"])
 
 
-def mentions(docs: DataFrame, profile: Profile, labels: list[str], level: str = "sentence", window: int = 3) -> DataFrame:
-    """(doc_id, ms): for each unit with a label, in text order, its marks and its labels by place.
+def mentions(docs: DataFrame, profile: Profile, labels: list[str], level: str = "sentence", window: int = 3, marked: bool = True) -> DataFrame:
+    """(doc_id, ms): for each unit with a label, in text order, its marks (unless not asked for) and its labels by place.
 
     The one pass over the texts that all edge methods share; ms is as small as what it names.
+    Rows are not filtered by ms: the optimizer would compute it once more for that.
     """
     units = docs.select("doc_id", tx.units(F.col("text"), level, window).alias("us"))
     toks = F.transform("us", lambda u: tx.tokens(u, profile.token))
-    # tokens and marks are materialised before labels are sought in them
-    marks = F.transform("us", lambda u: F.struct(
-        (u.rlike(profile.contrast_pattern) if profile.contrast else F.lit(False)).alias("contrast"),
-        (F.lower(u).rlike(profile.affect_pattern) if profile.affect else F.lit(False)).alias("affect"),
-        (u.rlike(profile.pronoun_pattern) if profile.pronouns else F.lit(False)).alias("pronoun"),
-    ))
-    base = units.select("doc_id", marks.alias("marks"), (profile.lexicon(toks, "array<array<string>>") if profile.lexicon else toks).alias("ts"))
-    found = base.select("doc_id", F.zip_with("marks", F.transform("ts", lambda t: _placed(t, labels)), lambda m, ls: F.struct(m["contrast"].alias("contrast"), m["affect"].alias("affect"), m["pronoun"].alias("pronoun"), ls.alias("ls"))).alias("ms"))
-    return found.select("doc_id", F.filter("ms", lambda m: F.size(m["ls"]) > 0).alias("ms")).filter(F.size("ms") > 0)
+    # tokens are materialised before labels are sought in them
+    base = units.select("doc_id", "us", (profile.lexicon(toks, "array<array<string>>") if profile.lexicon else toks).alias("ts"))
+    both = F.zip_with("us", F.transform("ts", lambda t: _placed(t, labels)), lambda u, ls: F.struct(u.alias("u"), ls.alias("ls")))
+    found = F.filter(both, lambda m: F.size(m["ls"]) > 0)
+    has = lambda u, pattern, given: (u.rlike(pattern) if marked and given else F.lit(False))
+    return base.select("doc_id", F.transform(found, lambda m: F.struct(
+        has(m["u"], profile.contrast_pattern, profile.contrast).alias("contrast"), has(F.lower(m["u"]), profile.affect_pattern, profile.affect).alias("affect"),
+        has(m["u"], profile.pronoun_pattern, profile.pronouns).alias("pronoun"), m["ls"].alias("ls"),
+    )).alias("ms"))
 
 
 def _pairs(found: DataFrame, keep: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -80,7 +81,7 @@ def _typed(pairs: DataFrame, method: str, factor: int = 1, relation: str | None
 
 
 def cooccurrence(docs: DataFrame, profile: Profile, labels: list[str], level: str = "sentence", window: int = 3, found: DataFrame | None = None) -> DataFrame:
-    return _typed(_pairs(mentions(docs, profile, labels, level, window) if found is None else found), "cooccurrence")
+    return _typed(_pairs(mentions(docs, profile, labels, level, window, False) if found is None else found), "cooccurrence")
 
 
 def rhetorical(docs: DataFrame, profile: Profile, labels: list[str], found: DataFrame | None = None) -> DataFrame:
@@ -97,7 +98,7 @@ def anaphora(docs: DataFrame, profile: Profile, labels: list[str], found: DataFr
 
     Mentions of a document are numbered inside its row, so nothing is shuffled but pairs.
     """
-    m = (mentions(docs, profile, labels) if found is None else found).filter(F.exists("ms", lambda x: x["pronoun"]))
+    m = mentions(docs, profile, labels) if found is None else found
     # how many mentions lie before each unit
     before = F.aggregate("ms", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.size(x["ls"])))
     m = m.select("ms", before.alias("before"), F.flatten(F.transform("ms", lambda x: x["ls"])).alias("every"))
@@ -120,8 +121,9 @@ def surprisal(docs: DataFrame, profile: Profile, edges: DataFrame) -> DataFrame:
     size = lambda df, c: df.agg(F.coalesce(F.nullif(F.sum(c) + F.count(F.lit(1)), F.lit(0)), F.lit(1)).cast("double").alias("t" + c))
     each = edges.select("src", "dst", F.explode(F.split("src", " ")).alias("a"), F.split("dst", " ").alias("bs")).select("src", "dst", "a", F.explode("bs").alias("b"))
     each = each.withColumn("ab", F.concat_ws(" ", "a", "b"))
-    # the edges are few (labels are bounded); the counts are filtered to them by the joins
-    j = each.join(bi, "ab", "left").join(uni, "a", "left").crossJoin(F.broadcast(size(bi, "nb"))).crossJoin(F.broadcast(size(uni, "nu")))
+    # the edges are few (labels are bounded), so the counts are cut down to theirs where they lie
+    bi_of, uni_of = bi.join(each.select("ab").distinct(), "ab", "left_semi"), uni.join(each.select("a").distinct(), "a", "left_semi")
+    j = each.join(bi_of, "ab", "left").join(uni_of, "a", "left").crossJoin(F.broadcast(size(bi, "nb"))).crossJoin(F.broadcast(size(uni, "nu")))
     p_bi = (F.coalesce("nb", F.lit(0)) + 1) / F.col("tnb")
     p_uni = 0.01 * (F.coalesce("nu", F.lit(0)) + 1) / F.col("tnu")
     s = -F.log2(F.greatest(p_bi, p_uni, F.lit(1e-9)))
