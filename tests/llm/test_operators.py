@@ -294,6 +294,13 @@ def test_fingerprints_against_plain_python(spark):
         assert abs(r.near_edited - plain_likeness(f, fe)) < 1e-9 and abs(r.near_next - plain_likeness(f, fn)) < 1e-9
 
 
+def test_items_in_many_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 1)
+    items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, "w5 w6 w7"), (4, "nowhere at all")], "item_id long, text string")
+    assert sorted((r.id, r.item_id) for r in decontamination.contained(docs, items).collect()) == [(1, 1), (4, 1), (5, 1), (6, 3), (7, 3)]
+    assert decontamination.clean(docs, items).count() == len(ROWS) - 5
+
+
 def test_names_that_clash_keep_their_values(spark):
     """Each operator that returns the input's columns leaves values of columns named as its own."""
     import corpus_pipeline as cp
