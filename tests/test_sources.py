@@ -63,3 +63,14 @@ def test_build_answer_and_stream(spark, tmp_path):
 
     want = {(r.src, r.dst): r.weight for r in edges.build(docs, labels, replace(TESTDATA, edge_methods=TESTDATA.edge_methods[:3])).collect()}
     assert got == want
+
+
+def test_small_tables_are_dealt_out(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    out = sources.spread(one)
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and out.count() == 1000
+    spark.range(1000).repartition(spark.sparkContext.defaultParallelism).write.parquet(path + "s")
+    many = spark.read.parquet(path + "s")
+    assert sources.spread(many) is many  # enough files to feed every core

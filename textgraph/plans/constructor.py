@@ -29,7 +29,7 @@ class GraphConstructor:
 
     def build(self, docs: DataFrame) -> Built:
         """Vertices, typed edges, pruning; lazy but for the bounded list of labels."""
-        c = self.config
+        c, docs = self.config, files.spread(docs)
         v = vertices.extract(docs, c)
         e = edges.build(docs, edges.labels_of(v), c)
         return Built(v, graph.pinned(graph.filtered(e, c.max_vertices, c.min_weight, c.min_pmi, c.backbone_k)))

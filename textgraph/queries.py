@@ -12,6 +12,7 @@ from .config import TESTDATA, UNICODE
 from .functions import metrics as mx
 from .functions import text as tx
 from .operators import corpus, edges, evaluation, graph, profile, retrieval, stability, vertices
+from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +36,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents")
+    return files.spread(_t(spark, d, "documents"))
 
 
 # ---- SQL fragments -------------------------------------------------------------------
@@ -148,19 +149,19 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS total_chars, median(length(text)) AS median_chars, CAST(max(length(text)) AS INTEGER) AS max_chars FROM documents")
 def corpus_stats(spark, d):
-    return profile.corpus_stats(docs(spark, d))
+    return profile.corpus_stats(_t(spark, d, "documents"))
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 10")
 def facet_counts(spark, d):
-    return profile.value_counts(docs(spark, d), "source", 10)
+    return profile.value_counts(_t(spark, d, "documents"), "source", 10)
 
 
 @query("""
 SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr
 FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 5) GROUP BY source""")
 def lang_source_pivot(spark, d):
-    return profile.pivot_top(docs(spark, d), "source", "lang", 5, ["de", "en", "es", "fr"])
+    return profile.pivot_top(_t(spark, d, "documents"), "source", "lang", 5, ["de", "en", "es", "fr"])
 
 
 @query("SELECT CAST(year(ts) AS INTEGER) AS year, count(*) AS n FROM events GROUP BY 1")
@@ -182,7 +183,7 @@ def distinct_and_hits(spark, d):
 
 @query("SELECT doc_id, CAST(length(text) AS INTEGER) AS text_len FROM documents")
 def derived_lengths(spark, d):
-    return profile.lengths(docs(spark, d)).select("doc_id", "text_len")
+    return profile.lengths(_t(spark, d, "documents")).select("doc_id", "text_len")
 
 
 # ---- text primitives ----------------------------------------------------------------------
@@ -747,7 +748,7 @@ def long_context(spark, d):
 
 def _answers(spark, d) -> DataFrame:
     """A user turn as reference and the next turn as answer."""
-    c = _t(spark, d, "conversations")
+    c = files.spread(_t(spark, d, "conversations"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("reference"), "answer", "role")
 

@@ -20,6 +20,8 @@ DOCUMENT_SCHEMA = (
     "text_type string, actor string, city string, discovery_query string, relevance_reason string"
 )
 GOLD_SCHEMA = "q string, gold string, keypoints array<string>"
+#: Bytes of a row group by Parquet's own default.
+ROW_GROUP = 128 << 20
 
 
 def read_documents(spark: SparkSession, path: str, schema: str = DOCUMENT_SCHEMA) -> DataFrame:
@@ -36,6 +38,19 @@ def read_terms(spark: SparkSession, path: str) -> list[str]:
     return [r["value"].strip() for r in spark.read.text(path).collect() if r["value"].strip()]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out evenly over the cores where its scan cannot feed them all; else df as it is.
+
+    A row group of Parquet is one task's work however small the splits, so a table of fewer
+    files than cores and less than a row group for each core would keep most of them idle.
+    Only such tables are shuffled, which bounds what is moved; larger ones are read in place.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    small = size < cores * ROW_GROUP and len(df.inputFiles()) < cores  # the files of a large table are not listed
+    return df.repartition(cores) if small else df
+
+
 def read_edges_csv(spark: SparkSession, path: str) -> DataFrame:
     """edges.csv with source, target, weight, methods (brackets and quotes removed), pmi and surprisal if there."""
     raw = spark.read.option("header", True).csv(path)
