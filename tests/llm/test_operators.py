@@ -1,6 +1,8 @@
 """Each operator against brute force on small tables, with nulls, ties, repeats, clashing columns and no rows."""
 
 import hashlib
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -464,3 +466,82 @@ def test_pipeline_stages(spark):
         n = frame.count()
         assert name == "byte_bpe" or frame.columns == names
     assert n > 100 and cp.run(spark, d).count() == n
+
+
+def plain_words(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.translate({c: c + 32 for c in range(65, 91)}))
+
+
+def plain_near(a, b):
+    longest = max(len(a), len(b))
+    most = int(0.2 * longest + 1e-9)
+    if longest - (Counter(a) & Counter(b)).total() > most:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1] <= most
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """run() over the small table with planted copies, passages and lines: the same rows as one text at a time."""
+    import base64
+
+    import corpus_pipeline as cp
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    import public_tokenizers as p
+    import tiktoken
+
+    d = "/root/testdata/sf0.001"
+    table = pq.read_table(f"{d}/documents.parquet")
+    rows, items = table.to_pylist(), [r["text"] for r in pq.read_table(f"{d}/benchmark.parquet").to_pylist()]
+    top = max(r["doc_id"] for r in rows)
+    long = [r for r in rows if len(r["text"] or "") > 300][:40]
+    planted = []
+    for i, r in enumerate(long[:10]):  # exact copies, near copies, passages, a line that twelve share
+        words = r["text"].split(" ")
+        planted.append(r["text"])
+        planted.append(" ".join(w if k % 12 != 5 else f"new{i}x{k}" for k, w in enumerate(words)))
+        planted.append(long[20 + i]["text"] + " " + items[i])
+    planted += [f"  One Line for All \n{r['text']}" for r in long[10:16]] + [f"{r['text']}\none line for all" for r in long[14:20]] + [None, ""]
+    rows += [{**rows[0], "doc_id": top + 1 + i, "text": t, "n_chars": len(t or "")} for i, t in enumerate(planted)]
+    pq.write_table(pa.Table.from_pylist(rows, table.schema), str(tmp_path / "documents.parquet"))
+    for name in ("benchmark", "labels"):
+        pq.write_table(pq.read_table(f"{d}/{name}.parquet"), str(tmp_path / f"{name}.parquet"))
+
+    # 1: the fitted model on one text at a time
+    scorer = quality.fit(common.table(spark, str(tmp_path), "documents"), common.table(spark, str(tmp_path), "labels"))
+    raw = {r["doc_id"]: (r["text"] or "").encode() for r in rows}
+    good = [r["doc_id"] for r in rows if scorer(np.frombuffer(raw[r["doc_id"]], np.uint8), np.array([0, len(raw[r["doc_id"]])]))[0] >= quality.THRESHOLD]
+    texts = {k: raw[k].decode() for k in sorted(good)}
+    # 2: lines in at least ten documents
+    key = lambda s: s.strip(" \t\n\x0b\x0c\r").lower()
+    count = Counter(k for t in texts.values() for k in {key(x) for x in t.split("\n")})
+    cut = {i: "\n".join(x for x in t.split("\n") if not (key(x) and count[key(x)] >= 10)) for i, t in texts.items()}
+    # 3: every pair
+    words = {i: plain_words(t) for i, t in cut.items()}
+    root = {i: i for i in words}
+    for i in words:
+        for j in words:
+            if i < j and root[i] != root[j] and plain_near(words[i], words[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    first = [i for i in root if root[i] == i]
+    # 4: the five-word shingles of an item
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    clean = []
+    for i in first:
+        wanted = [(n, grams(w, n)) for w in map(plain_words, items) if (n := min(5, len(w)))]
+        if not any(len(g & grams(words[i], n)) >= 0.8 * len(g) for n, g in wanted):
+            clean.append(i)
+    # 5: the tokenizer library
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_50k.tiktoken"), "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {i: np.array(lib.encode_ordinary(cut[i]), "<u4").tobytes() for i in clean}
+    got = {r.doc_id: r for r in cp.run(spark, str(tmp_path)).collect()}
+    assert len(good) < len(rows) and cut != texts and len(clean) < len(first) < len(good)  # every stage had work
+    assert set(got) == set(want)
+    assert all(r.ids == want[i] and r.n_tokens == len(r.ids) // 4 and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() and r.decoded_sha256 == hashlib.sha256(cut[i].encode()).hexdigest() for i, r in got.items())
