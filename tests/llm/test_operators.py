@@ -158,6 +158,34 @@ def test_copies_among_many_texts_with_a_passage(spark, monkeypatch, block):
     assert {r.uid: r.class_uid for r in near_dedup.classes(table).collect()} == {k: k - k % 2 for k, _ in rows}
 
 
+def test_only_members_with_a_partner_go_to_blocks(spark, monkeypatch):
+    """All that have one of another class within the length rule in their bucket, and not the large classes whose lengths lie apart."""
+
+    def received(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("rep")], ["a", "b"])
+
+    monkeypatch.setattr(near_dedup, "_compared", received)
+    rng = np.random.default_rng(5)
+    members = [(key, rep, 150 if rep % 2 else 80, 2 + rep % 2) for key in range(8) for rep in range(10, 210)]  # two classes
+    members += [(key, rep, 100, 5) for key in range(8, 12) for rep in range(210, 260)]  # one class, not the hub's
+    lengths = {rep: int(n) for rep, n in zip(range(300, 500), np.exp(rng.uniform(np.log(4), np.log(4000), 200)), strict=True)}
+    lengths |= {500: 80, 501: 100, 502: 200, 503: 251, 504: 1000, 505: 1250}  # at the ratio, just beyond it, at it
+    members += [(key, rep, n, rep if rep % 3 else 300) for key in range(12, 40) for rep, n in lengths.items() if rep >= 500 and key == 12 or rep < 500 and rng.random() < 0.08]
+    met = spark.createDataFrame([(k, rep, n, 1, n, 1000, 100_000) for k, rep, n, _ in members], "key long, rep long, n long, hub long, hub_n long, size long, all_words long")
+    roots = spark.createDataFrame(sorted({(rep, root) for _, rep, _, root in members}), "node long, root long")
+    texts = spark.createDataFrame(sorted({(rep, "x") for _, rep, _, _ in members}), "uid long, t string")
+    got = [(r.a, r.b) for r in near_dedup._rest(met, roots, texts).collect()]
+
+    def partnered(ratio):
+        return {(k, a) for k, a, n, r in members if any(k == l and r != q and min(n, m) >= ratio * max(n, m) - 1e-9 for l, _, m, q in members)}
+
+    assert len(got) == len(set(got)) and {(12, 500), (12, 501), (12, 504), (12, 505)} <= set(got)
+    assert partnered(0.8) <= set(got) <= partnered(0.8 ** (18 / 16)) and 0 < len(got) < len(members) - 1600
+
+
 def test_sketches_keep_the_miss_rate():
     for n in range(near_dedup.TINY + 1, 2000):
         length = near_dedup.SHORT_LENGTH if n <= near_dedup.SHORT else near_dedup.LENGTH

@@ -14,8 +14,9 @@ members are compared in three steps, each only for members that are not of one c
 
 1. each text with the hub that it shares most sketches with;
 2. each text with its other hubs;
-3. in buckets that still hold several classes, all pairs of different classes, in blocks of
-   about BLOCK members or BLOCK_WORDS words on either side.  A task gets the words of a block
+3. in buckets that still hold several classes, all pairs of different classes and of lengths
+   that the threshold allows; members without such a partner in the bucket stay out, the others
+   go in blocks of about BLOCK members or BLOCK_WORDS words on either side.  A task gets the words of a block
    and joins its classes up as it goes: pairs that are of one class by then, or that meet
    in another bucket first, are passed over, lengths, counts of words by bin and the exact
    overlap of the words rule most others out, without loss, and the rest are aligned.
@@ -38,12 +39,13 @@ of the input come back untouched, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, kernels
@@ -56,6 +58,8 @@ SHORT, SHORT_LENGTH, TINY = 49, 2, 9
 MISS = 0.01
 #: Members of a bucket and their words on one side of a block of pairs, about; bins of the word counts that rule pairs out.
 BLOCK, BLOCK_WORDS, BINS = 1024, 1 << 20, 128
+#: Bins of lengths to the ratio of lengths that the threshold allows.
+LENGTH_STEPS = 16
 _U = np.uint64
 
 
@@ -377,20 +381,36 @@ def _apart_still(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, F.coalesce("_r", "rep").alias("root"), F.coalesce("_h", "hub").alias("hub_root"))
 
 
+def _with_partner(named: DataFrame) -> DataFrame:
+    """The rows of named (key, rep, n, root) that have a member of another class and of like length in their bucket.
+
+    Lengths are binned on a scale of logarithms, LENGTH_STEPS bins to the ratio that THRESHOLD allows; so texts
+    that may be copies lie at most LENGTH_STEPS + 1 bins apart, and none of them is left out.  ``open`` and
+    ``open_words`` are how many such rows the bucket has, and their words.
+    """
+    scale = LENGTH_STEPS / math.log(1 / THRESHOLD)
+    rows = named.select("key", "rep", "n", "root", F.floor(F.log("n") * scale).alias("bin"))
+    bins = rows.groupBy("key", "bin").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    like = Window.partitionBy("key").orderBy("bin").rangeBetween(-LENGTH_STEPS - 1, LENGTH_STEPS + 1)
+    bins = bins.withColumn("several", F.min("r0").over(like) < F.max("r1").over(like)).filter("several")
+    bucket = Window.partitionBy("key")
+    bins = bins.select("key", "bin", F.sum("m").over(bucket).alias("open"), F.sum("w").over(bucket).alias("open_words"))
+    return rows.join(bins.hint("merge"), ["key", "bin"]).drop("bin")
+
+
 def _rest(met: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links that join up what is still apart in buckets that hold members of several classes."""
+    """The links that join up what is still apart in buckets that hold members of several classes; hubs have met all their members."""
     named = common.written(_apart_still(met.filter(F.col("size") > 2), roots))
-    unfit = named.filter(F.col("root") != F.col("hub_root")).select("key").distinct()
-    members = named.join(unfit.hint("merge"), "key", "left_semi")
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all_words") / BLOCK_WORDS))
-    open_ = members.groupBy("rep", "root").agg(F.sort_array(F.collect_list(F.struct("key", blocks.alias("blocks")))).alias("ks"))
+    blocks = F.greatest(F.ceil(F.col("open") / BLOCK), F.ceil(F.col("open_words") / BLOCK_WORDS))
+    open_ = _with_partner(named).groupBy("rep", "root").agg(F.sort_array(F.collect_list(F.struct("key", blocks.alias("blocks")))).alias("ks"))
+    open_ = common.written(open_)  # read twice
     words = texts.join(open_.select(F.col("rep").alias("uid")).hint("merge"), "uid", "left_semi").mapInArrow(_worded, "rep long, words binary")
     each = open_.join(words.hint("merge"), "rep").select("rep", "root", "words", F.col("ks.key").alias("keys"), F.explode("ks").alias("k"))
     each = each.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("k.blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k.blocks") - 1)))
     each = each.select(F.col("k.key").alias("key"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "root", "keys", "words")
     each = each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = common.written(each.mapInArrow(_compared, "a long, b long"))
-    common.discard(named)
+    common.discard(named, open_)
     return found
 
 
