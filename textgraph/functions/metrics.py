@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +34,68 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.arrow_udf(lambda x, y: pa.array([_lcs(p or [], q or []) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.int32()), "int")(a, b)
 
 
+def rouge_overlaps(hyp: Column, ref: Column, sizes: list[int]) -> Column:
+    """For arrays of token arrays: by size, the clipped overlap of n-grams over the reference's; null without any there."""
+
+    def grams(lists: list, n: int) -> Counter:
+        found: Counter = Counter()
+        for t in lists or []:
+            found.update(zip(*(t[i:] for i in range(n)), strict=False) if n > 1 else t)
+        return found
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for h, r in zip(x.to_pylist(), y.to_pylist(), strict=True):
+            row = []
+            for n in sizes:
+                a, b = grams(h, n), grams(r, n)
+                row.append(sum(min(k, a[g]) for g, k in b.items() if g in a) / total if (total := b.total()) else None)
+            out.append(row)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return F.arrow_udf(run, "array<double>")(hyp, ref)
+
+
+def char_cosine(a: Column, b: Column, low: int = 3, high: int = 5) -> Column:
+    """For arrays of word arrays: the cosine of their char_wb grams by TF-IDF fitted on the two alone; 0 without any."""
+
+    def of_word(w: str) -> list[str]:
+        p = f" {w} "
+        return [p[i : i + n] for n in range(low, high + 1) if len(p) >= n or n == low for i in range(max(len(p) - n + 1, 1))]
+
+    def counted(lists: list, known: dict) -> Counter:
+        found: Counter = Counter()
+        for w, k in Counter(w for ws in lists or [] for w in ws).items():
+            if w not in known:
+                if len(known) > 50_000:
+                    known.clear()
+                known[w] = of_word(w)
+            for g in known[w]:
+                found[g] += k
+        return found
+
+    lone = (math.log(1.5) + 1) ** 2  # the square of the idf of a gram that one text has; of two, 1
+
+    def run(p: pa.Array, q: pa.Array) -> pa.Array:
+        known: dict = {}
+        out = []
+        for s, t in zip(p.to_pylist(), q.to_pylist(), strict=True):
+            x, y = counted(s, known), counted(t, known)
+            both = x.keys() & y.keys()
+            xy, sx, sy = sum(x[g] * y[g] for g in both), sum(x[g] ** 2 for g in both), sum(y[g] ** 2 for g in both)
+            xx = sx + lone * (sum(k * k for k in x.values()) - sx)
+            yy = sy + lone * (sum(k * k for k in y.values()) - sy)
+            out.append(xy / math.sqrt(xx * yy) if xx and yy else 0.0)
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(run, "double")(a, b)
+
+
+def words(c: Column) -> Column:
+    """What char_wb splits a text into."""
+    return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+
+
 def f1(common: Column, n_hyp: Column, n_ref: Column) -> Column:
     p, r = common / n_hyp, common / n_ref
     return F.when((n_hyp == 0) | (n_ref == 0) | (common == 0), 0.0).otherwise(2 * p * r / (p + r))
@@ -62,8 +127,19 @@ def keypoint_hit(point: Column, answer_lower: Column) -> Column:
 
 
 def keypoint_coverage(points: Column, answer: Column) -> Column:
-    low = F.lower(F.coalesce(answer, F.lit("")))
-    n = F.size(F.filter(points, lambda p: keypoint_hit(p, low)))
+    """Share of the points that keypoint_hit() finds in an answer; each text is put in lower case once, not once a point."""
+
+    def run(lows: pa.Array, tokens: pa.Array, answers: pa.Array) -> pa.Array:
+        out = []
+        for ps, ts, a in zip(lows.to_pylist(), tokens.to_pylist(), answers.to_pylist(), strict=True):
+            n = 0
+            for p, t in zip(ps or [], ts or [], strict=True):
+                stems = [w[:6] for w in t if len(w) >= 4] or ([p[:6]] if p is not None else [])
+                n += any(s in a for s in stems)
+            out.append(n)
+        return pa.array(out, pa.int32())
+
+    n = F.arrow_udf(run, "int")(F.transform(points, lambda p: F.lower(p)), F.transform(points, eval_tokens), F.lower(F.coalesce(answer, F.lit(""))))
     return F.when(F.size(points) == 0, 0.0).otherwise(n / F.size(points))
 
 

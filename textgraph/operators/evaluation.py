@@ -6,15 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as mx
-from ..functions import text as tx
+
+
+def _by_key(pairs: DataFrame, key: list[str], a: Column, b: Column) -> DataFrame:
+    """(key, _m, _a, _b): what the rows of a key have, and how many they are; a key names a pair, so mostly one."""
+    return pairs.select(*key, a.alias("_a"), b.alias("_b")).groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), F.collect_list("_a").alias("_a"), F.collect_list("_b").alias("_b"))
+
+
+def _known(key: list[str]) -> Column:
+    """A key with a null is no pair's."""
+    return F.forall(F.array(*[F.col(k).isNotNull() for k in key]), lambda x: x)
+
+
+def _repeated(df: DataFrame, times: Column) -> DataFrame:
+    return df.withColumn("_i", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).drop("_i", "_m")
+
+
+def _rouge(pairs: DataFrame, key: list[str], sizes: list[int], hyp: str, ref: str) -> DataFrame:
+    """(key, _m, rouge<n>...), one row a key: n-grams are counted in the row, so no gram is shuffled."""
+    g = _by_key(pairs, key, mx.eval_tokens(F.col(hyp)), mx.eval_tokens(F.col(ref))).withColumn("_s", mx.rouge_overlaps(F.col("_a"), F.col("_b"), sizes))
+    return g.select(*key, "_m", *[F.when(_known(key), F.coalesce(F.get("_s", F.lit(i)), F.lit(0.0))).otherwise(0.0).alias(f"rouge{n}") for i, n in enumerate(sizes)])
 
 
 def rouge_n(pairs: DataFrame, key: list[str], n: int, hyp: str = "answer", ref: str = "reference") -> DataFrame:
     """(key, rouge<n>): clipped overlap of n-grams over the reference's, from counts by gram; 0 for an empty reference."""
-    side = lambda c, i: pairs.select(*key, F.lit(i).alias("side"), F.explode(tx.ngrams(mx.eval_tokens(F.col(c)), n)).alias("g"))
-    tf = side(hyp, 0).unionByName(side(ref, 1)).groupBy(*key, "g").agg(F.count_if(F.col("side") == 0).alias("h"), F.count_if(F.col("side") == 1).alias("r"))
-    s = tf.groupBy(*key).agg((F.sum(F.least("h", "r")) / F.nullif(F.sum("r"), F.lit(0))).alias(f"rouge{n}"))
-    return pairs.select(*key).join(s, key, "left").withColumn(f"rouge{n}", F.coalesce(f"rouge{n}", F.lit(0.0)))
+    return _repeated(_rouge(pairs, key, [n], hyp, ref), F.col("_m"))
 
 
 def scored(pairs: DataFrame, key: list[str], hyp: str = "answer", ref: str = "reference") -> DataFrame:
@@ -26,21 +42,14 @@ def scored(pairs: DataFrame, key: list[str], hyp: str = "answer", ref: str = "re
         "rouge_l": mx.f1(F.col("_l"), F.size(h), F.size(r)), "ttr": mx.ttr(h),
         "coverage": mx.coverage(r, h), "length_v1": mx.length_v1(F.size(h)), "length_v2": mx.length_v2(F.size(h)),
     }).drop("_h", "_r", "_l")
-    for n in (1, 2):
-        t = t.join(rouge_n(pairs, key, n, hyp, ref), key)
-    return t
+    # rows that share a key meet each other's scores, once for each size
+    return _repeated(t.join(_rouge(pairs, key, [1, 2], hyp, ref), key), F.col("_m") * F.col("_m"))
 
 
 def semantic(pairs: DataFrame, key: list[str], a: str = "answer", b: str = "reference") -> DataFrame:
-    """Cosine of the TF-IDF vectors, fitted on each pair alone, of character n-grams inside words."""
-    both = pairs.select(*key, F.lit(0).alias("side"), F.explode(mx.char_wb(F.col(a))).alias("g")).unionByName(pairs.select(*key, F.lit(1).alias("side"), F.explode(mx.char_wb(F.col(b))).alias("g")))
-    tf = both.groupBy(*key, "g").agg(F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y"))
-    # of two texts, one or both have a gram: idf = ln(3 / (1 + df)) + 1
-    idf = F.log(F.lit(3.0) / (1 + (F.col("x") > 0).cast("int") + (F.col("y") > 0).cast("int"))) + 1
-    w = tf.select(*key, (F.col("x") * idf).alias("x"), (F.col("y") * idf).alias("y"))
-    s = w.groupBy(*key).agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
-    value = F.when((F.col("xx") == 0) | (F.col("yy") == 0), 0.0).otherwise(F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
-    return pairs.select(*key).join(s.select(*key, value.alias("semantic")), key, "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
+    """Cosine of the TF-IDF vectors, fitted on each pair alone, of character n-grams inside words; counted in the row, so no gram is shuffled."""
+    g = _by_key(pairs, key, mx.words(F.col(a)), mx.words(F.col(b))).withColumn("_s", mx.char_cosine(F.col("_a"), F.col("_b")))
+    return _repeated(g.select(*key, "_m", F.when(_known(key), F.col("_s")).otherwise(0.0).alias("semantic")), F.col("_m"))
 
 
 def specificity(answers: DataFrame, docs: DataFrame, key: list[str], answer: str = "answer") -> DataFrame:
