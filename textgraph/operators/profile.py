@@ -55,13 +55,13 @@ def passed(found: DataFrame) -> DataFrame:
     return found.agg(F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("total"), F.bool_and("ok").alias("all_ok"))
 
 
-def corpus_rules(docs: DataFrame, title: Column, words: list[str], size: tuple[int, int], length: tuple[int, int], least_titles: int, least_entities: int, least_names: int, least_keywords: int) -> list[tuple[str, DataFrame, Column, Column]]:
-    """Rules of a corpus with ``entities`` and ``keywords``: its size, lengths, titles, and the domain words among its commonest names and keywords."""
+def corpus_rules(docs: DataFrame, title: Column, words: list[str], size: tuple[int, int], length: tuple[int, int], least_titles: int, least_entities: int, least_names: int, least_keywords: int, keywords: DataFrame | None = None) -> list[tuple[str, DataFrame, Column, Column]]:
+    """Rules of a corpus with ``entities`` and ``keywords`` (or a frame of them): its size, lengths, titles, and the domain words among its commonest names and keywords."""
     has_word = lambda c: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(c), w))
     stats = corpus_stats(docs)
     one = docs.agg(F.count_if(has_word(title)).alias("titles"), F.median(F.size("entities")).alias("names"))
-    top = lambda items, n: top_items(docs, F.transform(items, lambda x: F.lower(x)), n).agg(F.count_if(has_word(F.col("item"))).alias("n"))
-    names, kws = top(F.col("entities.text"), 20), top(F.col("keywords"), 50)
+    top = lambda df, items, n: top_items(df, F.transform(items, lambda x: F.lower(x)), n).agg(F.count_if(has_word(F.col("item"))).alias("n"))
+    names, kws = top(docs, F.col("entities.text"), 20), top(docs if keywords is None else keywords, F.col("keywords"), 50)
     return [
         ("corpus_size", stats, F.col("n_docs").between(*size), F.col("n_docs")),
         ("median_text_len", stats, F.col("median_chars").between(*length), F.round("median_chars").cast("bigint")),
