@@ -6,10 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Profile
+from ..functions import codes
 from ..functions import text as tx
 from .graph import degrees, ends
 
@@ -66,15 +68,51 @@ def concepts(edges: DataFrame, seen: DataFrame, keep: int = 18) -> DataFrame:
     return _rank(seen.select("q_id", "id").join(degrees(edges).select("id", "weighted"), "id"), [F.desc("weighted"), F.col("id")], keep)
 
 
+def _first_docs(pattern: str, ids: list[str], keep: int, lemmas: tuple | None = None):
+    """(id, doc_id): of each chunk of texts, the ``keep`` least doc_ids that have the id among their grams."""
+
+    def run(batches):
+        one = pa.array(ids, pa.string())
+        two = [(i, x.split(" ")) for i, x in enumerate(ids) if x.count(" ") == 1]
+        ends = pa.array([w for _, ws in two for w in ws], pa.string())
+        for batch in batches:
+            for c in codes.chunks(batch.column("_x"), pattern, lemmas):
+                size, n = max(c.last - c.first, 1), max(len(c.names), 1)
+                own = pc.index_in(c.names, value_set=one).fill_null(-1).to_numpy().astype(np.int64)[c.code]
+                keys = [own[own >= 0] * size + c.doc[own >= 0]]
+                pair = c.code[:-1] * n + c.code[1:]
+                for (i, _), (a, b) in zip(two, pc.index_in(ends, value_set=c.names).fill_null(-1).to_numpy().reshape(-1, 2).tolist(), strict=True):
+                    if a >= 0 and b >= 0:
+                        keys.append(i * size + c.doc[:-1][(pair == a * n + b) & (c.doc[:-1] == c.doc[1:])])
+                key = np.unique(np.concatenate(keys))
+                doc_ids = batch.column("doc_id").slice(c.first, c.last - c.first)
+                place = np.empty(len(doc_ids), np.int64)
+                place[pc.array_sort_indices(doc_ids).to_numpy()] = np.arange(len(doc_ids))
+                label, doc = key // size, key % size
+                order = np.lexsort((place[doc], label))
+                label, doc = label[order], doc[order]
+                first = np.arange(len(label)) - np.searchsorted(label, label) < keep
+                yield pa.RecordBatch.from_arrays([one.take(pa.array(label[first])), doc_ids.take(pa.array(doc[first]))], ["id", "doc_id"])
+
+    return run
+
+
 def snippets(docs: DataFrame, seed: DataFrame, profile: Profile, keep: int = 4, chars: int = 220) -> DataFrame:
-    """The first documents with a seed among their grams: [title] head of the text."""
-    # tokens become a column first: inside a lambda the expression would run once for each bigram
-    t = docs.select("doc_id", tx.tokens(F.col("text"), profile.token).alias("t"))
-    g = t.select("doc_id", F.explode(tx.grams(F.col("t"))).alias("id"))
-    hit = g.join(F.broadcast(seed.select("q_id", "id")), "id").select("q_id", "doc_id").distinct()
-    first = _rank(hit, [F.col("doc_id")], keep)
+    """The first documents with a seed among their grams: [title] head of the text.
+
+    The first documents of a question are among the first of each of its seeds, and seeds are
+    nodes of a pruned graph: so texts are gone over where they lie, and ``keep`` ids a seed and
+    chunk are shuffled.
+    """
+    ids = sorted(r["id"] for r in seed.select("id").distinct().collect())
+    kind = dict(docs.dtypes)["doc_id"]
+    have = codes.frame(docs.filter(F.col("doc_id").isNotNull()), profile, "doc_id").mapInArrow(_first_docs(profile.token, ids, keep), f"id string, doc_id {kind}").distinct()
+    have = have.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("doc_id"))).filter(F.col("n") <= keep).select("id", "doc_id")
+    have = docs.sparkSession.createDataFrame(have.collect(), have.schema)  # keep rows a seed
+    first = _rank(seed.select("q_id", "id").join(F.broadcast(have), "id").select("q_id", "doc_id").distinct(), [F.col("doc_id")], keep)
     title = F.coalesce(F.col("title"), F.lit("")) if "title" in docs.columns else F.lit("")
-    heads = docs.select("doc_id", F.concat(F.lit("["), F.substring(title, 1, 45), F.lit("] "), tx.strip(F.substring("text", 1, chars)), F.lit("…")).alias("snippet"))
+    heads = docs.join(F.broadcast(have.select("doc_id").distinct()), "doc_id", "left_semi")
+    heads = heads.select("doc_id", F.concat(F.lit("["), F.substring(title, 1, 45), F.lit("] "), tx.strip(F.substring("text", 1, chars)), F.lit("…")).alias("snippet"))
     return first.join(heads, "doc_id").select("q_id", "rank", "doc_id", "snippet")
 
 
@@ -169,8 +207,6 @@ def answered(contexts: DataFrame, client, template: str = "{context}\n\n{questio
     """(q_id, answer): a plug-in client(prompt) -> str on the executors; None gives the context's head, offline."""
 
     def run(batches):
-        import pyarrow as pa
-
         for b in batches:
             prompts = [template.format(context=c or "", question=q or "") for c, q in zip(b.column("context").to_pylist(), b.column("q").to_pylist(), strict=True)]
             answers = [client(p) if client else p[:400] for p in prompts]
