@@ -7,13 +7,19 @@ of partial sums by pair.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BuildConfig, Profile
+from ..functions import codes
 from ..functions import text as tx
 from .vertices import pairs_of
 
@@ -73,6 +79,116 @@ def _pairs(found: DataFrame, keep: Callable[[Column], Column] | None = None) ->
     return flat.groupBy(F.col("p.a").alias("src"), F.col("p.b").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _marker(patterns: tuple[str, ...], flags: int = 0) -> re.Pattern | None:
+    """The patterns as one of Python's, or None if it does not know their syntax."""
+    try:
+        return re.compile("|".join(f"(?:{p})" for p in patterns), flags)
+    except re.error:
+        return None
+
+
+def countable(profile: Profile) -> bool:
+    """Whether the sentences of a profile's texts can be gone over in batches."""
+    return codes.kind_of(profile.token) is not None and None not in (_marker(profile.contrast, re.I), _marker(profile.affect))
+
+
+def _pair_sums(pattern: str, labels: list[str], contrast: tuple[str, ...], affect: tuple[str, ...], lemmas: tuple | None, group: str | None = None):
+    """With ``group``, an integer column: (group, src, dst, n), in how many sentences the pair is. Else, of each chunk of texts: (src, dst, n, contrast, affect), in how many documents the pair shares a sentence, one with each mark."""
+    labels = sorted(set(labels))
+    size = max(len(labels), 1)
+    two = [(i, x.split(" ")) for i, x in enumerate(labels) if x.count(" ") == 1]
+
+    def placed(c: codes.Coded) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, label) of each mention, once a sentence, in order."""
+        # labels of two words are not among single tokens
+        own = pc.index_in(c.names, value_set=names).fill_null(-1).to_numpy().astype(np.int64)[c.code]
+        hit = own >= 0
+        keys = [c.unit[hit] * size + own[hit]]
+        if two and len(c.code) > 1:
+            v = len(c.names)
+            at = pc.index_in(pa.array([w for _, ws in two for w in ws], pa.string()), value_set=c.names).fill_null(-1).to_numpy().astype(np.int64).reshape(-1, 2)
+            known = (at >= 0).all(axis=1)
+            wanted, of = at[known, 0] * v + at[known, 1], np.array([i for i, _ in two], np.int64)[known]
+            order = np.argsort(wanted)
+            wanted, of = wanted[order], of[order]
+            if len(wanted):
+                pair = c.code[:-1] * v + c.code[1:]
+                k = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
+                ok = (wanted[k] == pair) & (c.unit[:-1] == c.unit[1:])
+                keys.append(c.unit[:-1][ok] * size + of[k[ok]])
+        key = np.unique(np.concatenate(keys))
+        return key // size, key % size
+
+    names = pa.array(labels, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = [_marker(p, f) if p else None for p, f in ((contrast, re.I), (affect, 0))]
+        for batch in batches:
+            for c in codes.chunks(batch.column("_x"), pattern, lemmas, units=True):
+                if not len(c.code):
+                    continue
+                unit, label = placed(c)
+                us, a, b = [], [], []
+                for d in range(1, size):
+                    same = np.flatnonzero(unit[d:] == unit[:-d])
+                    if not len(same):
+                        break
+                    us.append(unit[same])
+                    a.append(label[same])
+                    b.append(label[same + d])
+                if not us:
+                    continue
+                us, pair = np.concatenate(us), np.concatenate(a) * size + np.concatenate(b)
+                doc = np.zeros(len(c.cuts), np.int64)
+                doc[c.unit] = c.doc
+                if group is not None:
+                    of = batch.column(group).to_numpy()[c.first : c.last].astype(np.int64)[doc[us]]
+                    groups, of = np.unique(of, return_inverse=True)
+                    key, n = np.unique(of * (size * size) + pair, return_counts=True)
+                    pair = key % (size * size)
+                    yield pa.RecordBatch.from_arrays([pa.array(groups[key // (size * size)]), names.take(pa.array(pair // size)), names.take(pa.array(pair % size)), pa.array(n, pa.int64())], ["g", "src", "dst", "n"])
+                    continue
+                some, which = np.unique(us, return_inverse=True)
+                until = np.append(c.cuts[1:], len(c.data))
+                texts = [c.data[i:j].tobytes().decode().strip(tx.BLANKS) for i, j in zip(c.cuts[some].tolist(), until[some].tolist(), strict=True)]
+                key = doc[us] * (size * size) + pair
+                every, n = np.unique(np.unique(key) % (size * size), return_counts=True)
+                out = [n]
+                for m in marks:
+                    has = np.fromiter((m.search(t) is not None for t in texts), bool, len(texts)) if m is not None else np.zeros(len(texts), bool)
+                    p, k = np.unique(np.unique(key[has[which]]) % (size * size), return_counts=True)
+                    got = np.zeros(len(every), np.int64)
+                    got[np.searchsorted(every, p)] = k
+                    out.append(got)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(every // size)), names.take(pa.array(every % size)), *[pa.array(x, pa.int64()) for x in out]], ["src", "dst", "n", "contrast", "affect"])
+
+    return run
+
+
+def pair_counts(docs: DataFrame, profile: Profile, labels: list[str], marked: bool = True) -> DataFrame:
+    """(src, dst, n, contrast, affect): what cooccurrence, rhetorical and emotional count, in one pass over the texts.
+
+    Sentences, labels and marks are sought in whole batches, and only sums by pair leave a task:
+    nothing as large as the texts is kept or shuffled.
+    """
+    lemmas = profile.lexicon.arrays_for([w for x in labels for w in x.split(" ")]) if profile.lexicon else None
+    run = _pair_sums(profile.token, labels, profile.contrast if marked else (), profile.affect if marked else (), lemmas)
+    found = codes.frame(docs, profile).mapInArrow(run, "src string, dst string, n long, contrast long, affect long")
+    return found.groupBy("src", "dst").agg(*[F.sum(c).alias(c) for c in ("n", "contrast", "affect")])
+
+
+def sentence_counts(docs: DataFrame, profile: Profile, labels: list[str], group: Column) -> DataFrame:
+    """(g, src, dst, n): by the value of an integer column, in how many sentences each pair is; documents without a value are left out."""
+    lemmas = profile.lexicon.arrays_for([w for x in labels for w in x.split(" ")]) if profile.lexicon else None
+    run = _pair_sums(profile.token, labels, (), (), lemmas, "_g")
+    d = docs.withColumn("_g", group.cast("long")).filter(F.col("_g").isNotNull())
+    return codes.frame(d, profile, "_g").mapInArrow(run, "g long, src string, dst string, n long").groupBy("g", "src", "dst").agg(F.sum("n").alias("n"))
+
+
+def _of_counts(counts: DataFrame, column: str) -> DataFrame:
+    return counts.filter(F.col(column) > 0).select("src", "dst", F.col(column).alias("n"))
+
+
 def _typed(pairs: DataFrame, method: str, factor: int = 1, relation: str | None = None, emotional: bool | None = None) -> DataFrame:
     return pairs.select(
         "src", "dst", (F.col("n") * factor).cast("long").alias("weight"), F.array(F.lit(method)).alias("methods"), F.lit(relation).cast("string").alias("relation"),
@@ -80,17 +196,26 @@ def _typed(pairs: DataFrame, method: str, factor: int = 1, relation: str | None
     )
 
 
-def cooccurrence(docs: DataFrame, profile: Profile, labels: list[str], level: str = "sentence", window: int = 3, found: DataFrame | None = None) -> DataFrame:
-    return _typed(_pairs(mentions(docs, profile, labels, level, window, False) if found is None else found), "cooccurrence")
+def cooccurrence(docs: DataFrame, profile: Profile, labels: list[str], level: str = "sentence", window: int = 3, found: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    if counts is None and found is None and level == "sentence" and countable(profile):
+        counts = pair_counts(docs, profile, labels, False)
+    pairs = _of_counts(counts, "n") if counts is not None else _pairs(mentions(docs, profile, labels, level, window, False) if found is None else found)
+    return _typed(pairs, "cooccurrence")
 
 
-def rhetorical(docs: DataFrame, profile: Profile, labels: list[str], found: DataFrame | None = None) -> DataFrame:
+def rhetorical(docs: DataFrame, profile: Profile, labels: list[str], found: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Pairs in sentences with a contrast marker, two points a document."""
-    return _typed(_pairs(mentions(docs, profile, labels) if found is None else found, lambda m: m["contrast"]), "rhetorical", 2, relation="contrast")
+    if counts is None and found is None and countable(profile):
+        counts = pair_counts(docs, profile, labels)
+    pairs = _of_counts(counts, "contrast") if counts is not None else _pairs(mentions(docs, profile, labels) if found is None else found, lambda m: m["contrast"])
+    return _typed(pairs, "rhetorical", 2, relation="contrast")
 
 
-def emotional(docs: DataFrame, profile: Profile, labels: list[str], found: DataFrame | None = None) -> DataFrame:
-    return _typed(_pairs(mentions(docs, profile, labels) if found is None else found, lambda m: m["affect"]), "emotional", emotional=True)
+def emotional(docs: DataFrame, profile: Profile, labels: list[str], found: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    if counts is None and found is None and countable(profile):
+        counts = pair_counts(docs, profile, labels)
+    pairs = _of_counts(counts, "affect") if counts is not None else _pairs(mentions(docs, profile, labels) if found is None else found, lambda m: m["affect"])
+    return _typed(pairs, "emotional", emotional=True)
 
 
 def anaphora(docs: DataFrame, profile: Profile, labels: list[str], found: DataFrame | None = None) -> DataFrame:
@@ -109,27 +234,61 @@ def anaphora(docs: DataFrame, profile: Profile, labels: list[str], found: DataFr
     return _typed(e.groupBy(F.col("p.a").alias("src"), F.col("p.b").alias("dst")).agg(F.count(F.lit(1)).alias("n")), "anaphora")
 
 
+def _gram_sums(pattern: str, words: list[str], pairs: list[tuple[str, str]], lemmas: tuple | None):
+    """Of each chunk of texts: (g, h, n), the counts of the wanted words and pairs by g, and of every token and bigram by a digest h of 63 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, left, right = pa.array(words, pa.string()), pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string())
+        for batch in batches:
+            for c in codes.chunks(batch.column("_x"), pattern, lemmas):
+                v = len(c.names)
+                if not len(c.code):
+                    continue
+                h = pd.util.hash_array(np.array(c.names.to_pylist(), object), categorize=False)
+                count = np.bincount(c.code, minlength=v)
+                next_to = c.doc[:-1] == c.doc[1:]
+                key, n = np.unique((c.code[:-1] * v + c.code[1:])[next_to], return_counts=True)
+                h2 = h[key // v] * np.uint64(0x9E3779B97F4A7C15) + (h[key % v] ^ (h[key % v] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                there = np.flatnonzero(count)
+                digests = np.concatenate([h[there] | np.uint64(1), (h2 ^ (h2 >> np.uint64(32))) & ~np.uint64(1)]).view(np.int64)
+                at = lambda x, names=c.names: pc.index_in(x, value_set=names).fill_null(-1).to_numpy().astype(np.int64)
+                own = at(one)
+                ab = np.where((at(left) < 0) | (at(right) < 0), -1, at(left) * v + at(right))
+                k = np.minimum(np.searchsorted(key, ab), max(len(key) - 1, 0))
+                hit = np.flatnonzero((ab >= 0) & (key[k] == ab)) if len(key) else np.zeros(0, np.int64)
+                own_hit = np.flatnonzero(own >= 0)
+                g = [words[i] for i in own_hit.tolist()] + [" ".join(pairs[i]) for i in hit.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.nulls(len(g), pa.int64()), pa.array(np.concatenate([count[own[own_hit]], n[k[hit]]]), pa.int64())], ["g", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(digests), pa.string()), pa.array(digests), pa.array(np.concatenate([count[there], n]), pa.int64())], ["g", "h", "n"])
+
+    return run
+
+
 def surprisal(docs: DataFrame, profile: Profile, edges: DataFrame) -> DataFrame:
-    """(src, dst, surprisal): mean over token pairs of -log2 of a smoothed bigram estimate, in the direction src to dst."""
+    """(src, dst, surprisal): mean over token pairs of -log2 of a smoothed bigram estimate, in the direction src to dst.
+
+    The counts of the edges' own words are exact; of all others only how many there are is asked
+    for, so they are told apart by digests (of a thousand million bigrams, one pair in twenty
+    corpora may fall together, which moves no decimal that is given).
+    """
     from . import graph
 
-    toks = docs.select(tx.terms(F.col("text"), profile).alias("t"))
-    # tokens and bigrams are counted in one pass (only bigrams hold a space), which all below reads
-    counts = toks.select(F.explode(tx.grams(F.col("t"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).persist()
-    two = F.contains("g", F.lit(" "))
-    uni, bi = counts.filter(~two).select(F.col("g").alias("a"), F.col("n").alias("nu")), counts.filter(two).select(F.col("g").alias("ab"), F.col("n").alias("nb"))
-    size = lambda df, c: df.agg(F.coalesce(F.nullif(F.sum(c) + F.count(F.lit(1)), F.lit(0)), F.lit(1)).cast("double").alias("t" + c))
     each = edges.select("src", "dst", F.explode(F.split("src", " ")).alias("a"), F.split("dst", " ").alias("bs")).select("src", "dst", "a", F.explode("bs").alias("b"))
-    each = each.withColumn("ab", F.concat_ws(" ", "a", "b"))
-    # the edges are few (labels are bounded), so the counts are cut down to theirs where they lie
-    bi_of, uni_of = bi.join(each.select("ab").distinct(), "ab", "left_semi"), uni.join(each.select("a").distinct(), "a", "left_semi")
-    j = each.join(bi_of, "ab", "left").join(uni_of, "a", "left").crossJoin(F.broadcast(size(bi, "nb"))).crossJoin(F.broadcast(size(uni, "nu")))
-    p_bi = (F.coalesce("nb", F.lit(0)) + 1) / F.col("tnb")
-    p_uni = 0.01 * (F.coalesce("nu", F.lit(0)) + 1) / F.col("tnu")
+    each = graph.pinned(each.withColumn("ab", F.concat_ws(" ", "a", "b")))
+    spark = docs.sparkSession
+    # words of labels, which are bounded
+    pairs = [(r["a"], r["b"]) for r in each.select("a", "b").distinct().collect()]
+    run = _gram_sums(profile.token, sorted({a for a, _ in pairs}), pairs, codes.lemmas_of(profile))
+    counted = codes.frame(docs, profile).mapInArrow(run, "g string, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n"))
+    # digests of bigrams are even, those of tokens odd
+    rows = counted.groupBy("g", F.when(F.col("g").isNull(), F.col("h") % 2 == 0).alias("two")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
+    total = {r["two"]: float(r["n"] + r["kinds"]) for r in rows if r["g"] is None}
+    known = spark.createDataFrame([(r["g"], r["n"]) for r in rows if r["g"] is not None], "g string, n long")
+    j = each.join(F.broadcast(known.select(F.col("g").alias("ab"), F.col("n").alias("nb"))), "ab", "left").join(F.broadcast(known.select(F.col("g").alias("a"), F.col("n").alias("nu"))), "a", "left")
+    p_bi = (F.coalesce("nb", F.lit(0)) + 1) / F.lit(total.get(True, 1.0))
+    p_uni = 0.01 * (F.coalesce("nu", F.lit(0)) + 1) / F.lit(total.get(False, 1.0))
     s = -F.log2(F.greatest(p_bi, p_uni, F.lit(1e-9)))
-    out = graph.pinned(j.groupBy("src", "dst").agg(F.round(F.avg(s), 4).alias("surprisal")))  # as many rows as edges
-    counts.unpersist()
-    return out
+    return graph.pinned(j.groupBy("src", "dst").agg(F.round(F.avg(s), 4).alias("surprisal")))  # as many rows as edges
 
 
 def merge(parts: list[DataFrame]) -> DataFrame:
@@ -140,23 +299,36 @@ def merge(parts: list[DataFrame]) -> DataFrame:
     )
 
 
-#: The edge methods by name: (docs, config, labels, mentions by sentence) to typed edges.
-MAKERS: dict[str, Callable[[DataFrame, BuildConfig, list[str], DataFrame], DataFrame]] = {
-    "cooccurrence": lambda d, c, ls, found: cooccurrence(d, c.profile, ls, c.level, c.window, found if c.level == "sentence" else None),
-    "rhetorical": lambda d, c, ls, found: rhetorical(d, c.profile, ls, found),
-    "emotional": lambda d, c, ls, found: emotional(d, c.profile, ls, found),
-    "anaphora": lambda d, c, ls, found: anaphora(d, c.profile, ls, found),
+#: The edge methods by name: (docs, config, labels, mentions by sentence, counts by pair) to typed edges.
+MAKERS: dict[str, Callable[[DataFrame, BuildConfig, list[str], DataFrame | None, DataFrame | None], DataFrame]] = {
+    "cooccurrence": lambda d, c, ls, found, n: cooccurrence(d, c.profile, ls, c.level, c.window, *((found, n) if c.level == "sentence" else (None, None))),
+    "rhetorical": lambda d, c, ls, found, n: rhetorical(d, c.profile, ls, found, n),
+    "emotional": lambda d, c, ls, found, n: emotional(d, c.profile, ls, found, n),
+    "anaphora": lambda d, c, ls, found, n: anaphora(d, c.profile, ls, found),
 }
 
 
-def build(docs: DataFrame, labels: list[str], config: BuildConfig) -> DataFrame:
-    """All configured edge methods over one table of mentions; surprisal is put on what they found."""
+def typed(docs: DataFrame, labels: list[str], config: BuildConfig) -> DataFrame:
+    """The edges of all configured methods but surprisal, at most len(labels)**2 rows, pinned.
+
+    Methods that count pairs by document share one pass; anaphora, and patterns that cannot be
+    sought in batches, share one table of mentions.
+    """
     from . import graph
 
-    found = mentions(docs, config.profile, labels).persist()
-    # at most max_vertices**2 rows, which surprisal and pruning read several times
-    edges = graph.pinned(merge([MAKERS[m](docs, config, labels, found) for m in config.edge_methods if m in MAKERS]))
-    found.unpersist()
+    methods = [m for m in config.edge_methods if m in MAKERS]
+    fast = countable(config.profile)
+    counts = graph.pinned(pair_counts(docs, config.profile, labels)) if fast and set(methods) - {"anaphora"} else None
+    found = mentions(docs, config.profile, labels).persist() if "anaphora" in methods or not fast else None
+    out = graph.pinned(merge([MAKERS[m](docs, config, labels, found, counts) for m in methods]))
+    if found is not None:
+        found.unpersist()
+    return out
+
+
+def build(docs: DataFrame, labels: list[str], config: BuildConfig) -> DataFrame:
+    """All configured edge methods; surprisal is put on what they found."""
+    edges = typed(docs, labels, config)
     if "perplexity" in config.edge_methods:
         s = surprisal(docs, config.profile, edges)
         edges = edges.drop("surprisal").join(s, ["src", "dst"], "left").withColumn("methods", F.array_append("methods", F.lit("perplexity")))
@@ -180,10 +352,10 @@ def baseline(docs: DataFrame, profile: Profile, column: str = "entities", min_we
         if not found.filter(F.size("ls") > 0).isEmpty():
             lists = found
     if lists is None:
-        w = vertices.tfidf_weights(docs, profile, max_features, 2)
-        n = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("tfidf", 9)), "term"))
-        lists = w.withColumn("n", n).filter(F.col("n") <= top).groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("ls"))
-    pairs = pairs_of(lists, "ls").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+        pairs = vertices.top_pairs(docs, profile, top, max_features, 2)
+        pairs = graph.pinned(pairs)  # of max_features terms, and read several times
+    else:
+        pairs = pairs_of(lists, "ls").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
     return graph.filtered(_typed(pairs, "document"), 300, min_weight, min_pmi, 0)
 
 
