@@ -87,7 +87,10 @@ def stress(docs: DataFrame, build: Callable[[DataFrame], DataFrame], n: int, fra
     """Run a whole build on each of n dropouts and keep what is stable."""
     from functools import reduce
 
-    kept = runs(docs, n, fraction, seed, by).persist()
+    # runs are drawn by ids alone; a text is moved once, with the runs that it is in, not once a run
+    slim = docs.select(*dict.fromkeys(c for c in ("doc_id", "source", by) if c in docs.columns))
+    among = runs(slim, n, fraction, seed, by).select("doc_id", "run_id").distinct().groupBy("doc_id").agg(F.collect_list("run_id").alias("_runs"))
+    kept = docs.join(among, "doc_id").persist()
     # each run's graph is bounded and comes back as a small frame, so runs do not pile up in one plan
-    each = [build(kept.filter(F.col("run_id") == i).drop("run_id")).select("src", "dst").withColumn("run_id", F.lit(i)) for i in range(n)]
+    each = [build(kept.filter(F.array_contains("_runs", i)).drop("_runs")).select("src", "dst").withColumn("run_id", F.lit(i)) for i in range(n)]
     return core(reduce(DataFrame.unionByName, each), n, threshold)
